@@ -12,9 +12,10 @@ of two cells in the small bands, of one cell in the others, and at least C(n - k
 Large buckets. n leaves slack, so a set whose large ("hot", above `cap` members) and empty signatures are fewer than
 C(n - k, m) has each of its partners in a small bucket as well: there hot buckets can be left alone without losing a
 link, and a pair with fewer common signatures than that bound cannot be similar. Sets with too many hot signatures
-(families of near copies, texts that are mostly a common passage) are joined among themselves: each bucket compares
-its members with a few leaders, what is linked is contracted, and buckets that still hold several components go on
-with twice the leaders, until none is left. No step makes all pairs of a bucket of near copies.
+(families of near copies, texts that are mostly a common passage) are the exact rest, joined among themselves by their
+rarest shingles: each bucket compares its members with a few leaders, what is linked is contracted, and buckets that
+still hold several components go on with four times the leaders, until none is left. No step makes all pairs of a
+bucket of near copies.
 
 Every candidate is verified on the sets. Defined results: null and empty texts have the empty set and no links; texts
 of fewer than five words are one shingle; rows sharing a doc_id are one node; a null doc_id is a component of its
@@ -29,7 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialize, partitions
@@ -38,6 +39,7 @@ from spanloom.llm.components import components
 N = 5
 CAP = 8  # members of a bucket whose pairs are all candidates
 SLACK = 1.25
+DEBUG = False
 SMALL = 16  # below this size, signatures are of two cells
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +91,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 def bands(size: int) -> list[int]:
     """The bands that a set signs for."""
+    if not size:
+        return []
     own = size.bit_length() - 1
     return [own] + [own + 1] * (4 * size // 3 >= 1 << (own + 1))
 
@@ -125,17 +129,6 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     return (sig & ~np.uint64(1)) | np.uint64(band & 1), empty
 
 
-def empty_signatures(s: np.ndarray, band: int) -> np.ndarray:
-    """Names of the subsets of empty cells, for the sets that are joined among themselves."""
-    cells, m = layout(band)
-    cell = ((s >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-    none = np.setdiff1d(np.arange(cells, dtype=np.uint64), cell)
-    if m == 2:
-        i, j = np.triu_indices(len(none), 1)
-        none = none[i] * np.uint64(cells) + none[j]
-    return (mix(none + np.uint64(band + 1) * _R + np.uint64(99)) & ~np.uint64(1)) | np.uint64(band & 1)
-
-
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, k1, k2 (name of the set), e0, e1 (empty subsets in its bands)."""
 
@@ -144,25 +137,22 @@ def sets(docs: DataFrame) -> DataFrame:
             rows = []
             for t in b["text"]:
                 s = shingles(t)
-                e = [signatures(s, band)[1] for band in bands(len(s))] if len(s) else []
+                e = [signatures(s, band)[1] for band in bands(len(s))]
                 rows.append((len(s), *set_key(s), *(e + [0, 0])[:2]))
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "k1", "k2", "e0", "e1"])], axis=1)
 
     return docs.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, e0 int, e1 int")
 
 
-def signed(docs: DataFrame, with_empty: bool) -> DataFrame:
-    """sig, id of every signature."""
+def signed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """sig, id of every signature; of every shingle, if whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, ids, held = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t)
-                for band in bands(len(s)) if len(s) else ():
-                    x = signatures(s, band)[0]
-                    if with_empty:
-                        x = np.concatenate([x, empty_signatures(s, band)])
+                for x in [s] if whole else [signatures(s, band)[0] for band in bands(len(s))]:
                     sigs.append(x)
                     ids.append(np.full(len(x), i, np.int64))
                     held += len(x)
@@ -238,7 +228,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= 75 * union."""
+    """The pairs (a, b) with 100 * intersection >= 75 * union. docs: doc_id and text, or the set's hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -246,13 +236,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = []
             for a, x, y in zip(rows["a"], rows["x"], rows["y"]):
                 if a not in held:
-                    held = {a: shingles(x)}
-                s, t = held[a], shingles(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                    held = {a: shingles(x) if texts else np.frombuffer(x, np.uint64)}
+                s, t = held[a], shingles(y) if texts else np.frombuffer(y, np.uint64)
+                both = int((s[np.searchsorted(s[:-1], t)] == t).sum())
                 keep.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield rows.loc[keep, ["a", "b"]]
 
-    own = docs.select("doc_id", "text")
+    texts = "text" in docs.columns
+    own = docs.select("doc_id", "text" if texts else "set")
     rows = pairs.join(own.toDF("b", "y"), "b").join(own.toDF("a", "x"), "a")
     return rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
@@ -269,9 +260,15 @@ def links(docs: DataFrame, base: DataFrame) -> DataFrame:
         pairs = pairs.join(need.select(F.col("id").alias(side), "parity", F.col("need").alias(f"need_{side}")), [side, "parity"])
     pairs = pairs.where("n >= need_a and n >= need_b").select("a", "b").distinct()
     edges = materialize(verified(pairs, docs), "ngram-links")
-    open_ids = need.where("need <= 0").select(F.col("id").alias("doc_id")).distinct()
-    open_docs = materialize(docs.join(open_ids, "doc_id", "left_semi"), "ngram-open")
-    return among(open_docs, edges)
+    still = need.where("need <= 0").select(F.col("id").alias("doc_id")).distinct()
+    least = base.join(still, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.ceil(F.col("n") * 3 / 4)).alias("least"))
+    open_docs = materialize(docs.select("doc_id", "text").join(still, "doc_id", "left_semi"), "ngram-open")
+    return among(open_docs, edges, least)
+
+
+def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingles(t).tobytes() for t in b["text"]]})
 
 
 def _need(base: DataFrame, hot: DataFrame) -> DataFrame:
@@ -279,35 +276,47 @@ def _need(base: DataFrame, hot: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, band & 1, shared_least(n, band) - e) for i, n, *es in zip(b["doc_id"], b["n"], b["e0"], b["e1"]) for band, e in zip(bands(n), es)]
-            yield pd.DataFrame(rows, columns=["id", "parity", "least"])
+            rows = [(i, band & 1, shared_least(n, band), e) for i, n, *es in zip(b["doc_id"], b["n"], b["e0"], b["e1"]) for band, e in zip(bands(n), es)]
+            yield pd.DataFrame(rows, columns=["id", "parity", "full", "empty"])
+
+    least = base.select("doc_id", "n", "e0", "e1").mapInPandas(run, "id long, parity int, full long, empty long")
+    least = least.groupBy("id", "parity").agg(F.min("full").alias("full"), F.max("empty").alias("empty"))
+    return least.join(hot, ["id", "parity"], "left").select("id", "parity", (F.col("full") - F.col("empty") - F.coalesce("hot", F.lit(0))).alias("need"))
 
-    least = base.select("doc_id", "n", "e0", "e1").mapInPandas(run, "id long, parity int, least long")
-    return least.groupBy("id", "parity").agg(F.min("least").alias("least")).join(hot, ["id", "parity"], "left").select("id", "parity", (F.col("least") - F.coalesce("hot", F.lit(0))).alias("need"))
 
+def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Components, after the sets in docs are joined among themselves; edges: the links known so far.
 
-def among(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components, after the sets in docs are joined among themselves; edges: the links known so far."""
+    least: id and the shingles that a set shares with any similar one at least. A shingle's bucket are the sets that
+    hold it. Of two similar sets, the smallest bucket that both are in is not among the `least` - 1 largest of either,
+    so these are left out: a common passage in a text makes no candidates, unless the text is little else.
+    """
     groups = materialize(components(edges), "ngram-groups")
-    rows = signed(docs, True)
+    rows = signed(docs, whole=True)
+    docs = materialize(docs.mapInPandas(_stored, "doc_id long, set binary"), "ngram-stored")
     seen = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialize(rows.join(seen, "sig"), "ngram-members")
-    leaders, least = 2, None
+    largest = Window.partitionBy("id").orderBy(F.desc("size"), "sig")
+    rows = rows.join(seen, "sig").join(least, "id").withColumn("r", F.row_number().over(largest)).where("r >= least").select("sig", "id")
+    rows = materialize(rows, "ngram-prefix")
+    rows = materialize(rows.join(rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig"), "ngram-members")
+    leaders, tried = 2, None
     while True:
         own = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = own.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("least")).where("c0 != c1").select("sig", "least")
+        mixed = own.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("first")).where("c0 != c1").select("sig", "first")
         rows_left = materialize(own.join(mixed, "sig"), "ngram-mixed")
         if rows_left.isEmpty():
             return groups
         draw = F.shiftrightunsigned(F.xxhash64("sig", "id"), 33)  # 31 bits
-        chosen = rows_left.where((F.col("id") == F.col("least")) | (draw * F.col("size") <= F.lit(leaders) * F.lit(2**31)))
+        chosen = rows_left.where((F.col("id") == F.col("first")) | (draw * F.col("size") <= F.lit(leaders) * F.lit(2**31)))
         chosen = chosen.select("sig", F.col("id").alias("leader"), F.col("component").alias("other"))
         pairs = rows_left.join(chosen, "sig").where("component != other").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        if least is not None:
-            pairs = pairs.join(least, ["a", "b"], "left_anti")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
+        if DEBUG:
+            print("round", leaders, rows.count(), rows_left.count(), pairs.count(), rows_left.agg(F.max("size"), F.countDistinct("id"), F.countDistinct("sig")).first())
         fresh = materialize(verified(pairs, docs), "ngram-links")
-        least = pairs if least is None else least.unionByName(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         edges = edges.unionByName(fresh)
         groups = materialize(components(edges), "ngram-groups")
         if leaders >= 2**31 or rows_left.agg(F.max("size")).first()[0] <= leaders:

@@ -2,5 +2,338 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spanloom.functions import intervals as I
+from spanloom.functions import timeline as T
+from spanloom.functions import vectors as V
+from spanloom.operators import evaluation as E
+from spanloom.operators import selection as S
+from spanloom.plans import methods as M
+
+START_US = 1704067200000000  # 2024-01-01 in microseconds
+DURATION = 720.0
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _hours() -> F.Column:
+    return (F.unix_micros(F.col("ts").cast("timestamp")) - START_US) / F.lit(3.6e9)
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, event_id, start, end, score of clicks (predictions) and purchases (targets)."""
+    e = _t(spark, d, "events").where(F.col("event_type").isin("purchase", "click"))
+    rows = e.select("user_id", "event_id", "event_type", _hours().alias("start"), F.least(F.lit(DURATION), _hours() + F.col("value") / 10).alias("end"), (F.col("value") / 500).alias("score"))
+    return rows.where("`end` > start")
+
+
+def _records(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """id, spans, targets, a row per user."""
+    rows = _spans(spark, d)
+    if most:
+        rows = E.ranked(rows, ["user_id", "event_type"], ["start", "event_id"], most)
+    item = F.struct("start", "end", "score")
+    users = _t(spark, d, "events").select("user_id").distinct()
+    got = rows.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("event_type") == "click", item))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("event_type") == "purchase", item))).alias("targets"),
+    )
+    none = F.array().cast(f"array<{I.SPAN}>")
+    return users.join(got, "user_id", "left").select(F.col("user_id").alias("id"), F.coalesce("spans", none).alias("spans"), F.coalesce("targets", none).alias("targets"))
+
+
+SPANS_SQL = """
+s AS (SELECT user_id, event_id, event_type, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS a,
+             least(720.0::DOUBLE, (epoch_us(ts) - 1704067200000000) / 3.6e9 + value / 10) AS b, value / 500 AS score
+      FROM events WHERE event_type IN ('purchase', 'click')),
+p AS (SELECT * FROM s WHERE event_type = 'click' AND b > a), t AS (SELECT * FROM s WHERE event_type = 'purchase' AND b > a)"""
+IOU_SQL = """CASE WHEN greatest(p.b, t.b) - least(p.a, t.a) > 0 THEN greatest(0.0::DOUBLE, least(p.b, t.b) - greatest(p.a, t.a))
+  / ((p.b - p.a) + (t.b - t.a) - greatest(0.0::DOUBLE, least(p.b, t.b) - greatest(p.a, t.a))) ELSE 0.0::DOUBLE END"""
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+@query(f"""WITH {SPANS_SQL}
+SELECT p.user_id, p.event_id, round(coalesce(max({IOU_SQL}), 0.0), 6) AS best_iou FROM p LEFT JOIN t USING (user_id) GROUP BY 1, 2""")
+def iou_best_window(spark, d):
+    r = _spans(spark, d)
+    p = r.where("event_type = 'click'").select("user_id", "event_id", F.struct("start", "end").alias("p"))
+    t = r.where("event_type = 'purchase'").select("user_id", F.struct("start", "end").alias("t"))
+    j = p.join(t, "user_id", "left")
+    return j.groupBy("user_id", "event_id").agg(F.round(F.coalesce(F.max(I.iou(F.col("p"), F.col("t"))), F.lit(0.0)), 6).alias("best_iou"))
+
+
+@query(f"""WITH {SPANS_SQL}, f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY a, b, score) = 1),
+v AS (SELECT t.user_id, coalesce(max({IOU_SQL.replace("p.", "f.")}), 0.0) AS v FROM t LEFT JOIN f USING (user_id) GROUP BY 1)
+SELECT count(*) AS "count", round(avg(v), 6) AS miou, round(avg((v >= 0.3)::INT), 6) AS r1_3, round(avg((v >= 0.5)::INT), 6) AS r1_5, round(avg((v >= 0.7)::INT), 6) AS r1_7 FROM v""")
+def single_span_eval(spark, d):
+    s = E.single_summary(_records(spark, d))
+    return s.select("count", F.round("miou", 6).alias("miou"), *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("r1_")])
+
+
+UNION_SQL = f"""WITH {SPANS_SQL}, o AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM t),
+g AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m + %s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b, score ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT user_id, round(min(a), 6) AS start_h, round(max(b), 6) AS end_h, round(max(score), 6) AS score FROM g GROUP BY user_id, g.g"""
+
+
+def _merged(spark, d, gap):
+    r = _records(spark, d).select(F.col("id").alias("user_id"), F.explode(I.merge(F.col("targets"), gap)).alias("s"))
+    return r.select("user_id", F.round("s.start", 6).alias("start_h"), F.round("s.end", 6).alias("end_h"), F.round("s.score", 6).alias("score"))
+
+
+@query(UNION_SQL % "0")
+def interval_union(spark, d):
+    return _merged(spark, d, 0.0)
+
+
+@query(UNION_SQL % "3")
+def gap_merge(spark, d):
+    return _merged(spark, d, 3.0)
+
+
+@query(f"""WITH {SPANS_SQL}, e AS (SELECT user_id, a AS x, 1 AS dp, 0 AS dt FROM p UNION ALL SELECT user_id, b, -1, 0 FROM p
+  UNION ALL SELECT user_id, a, 0, 1 FROM t UNION ALL SELECT user_id, b, 0, -1 FROM t),
+c AS (SELECT user_id, x, lead(x) OVER w - x AS len, sum(dp) OVER w2 AS np, sum(dt) OVER w2 AS nt FROM e
+      WINDOW w AS (PARTITION BY user_id ORDER BY x), w2 AS (PARTITION BY user_id ORDER BY x ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT user_id, sum(CASE WHEN np > 0 AND nt > 0 THEN len ELSE 0 END) AS i, sum(CASE WHEN np > 0 OR nt > 0 THEN len ELSE 0 END) AS u FROM c GROUP BY 1)
+SELECT x.user_id, round(coalesce(CASE WHEN u.u > 0 THEN u.i / u.u END, 0.0), 5) AS t_iou FROM (SELECT DISTINCT user_id FROM events) x LEFT JOIN u USING (user_id)""")
+def tiou_multi(spark, d):
+    return _records(spark, d).select(F.col("id").alias("user_id"), F.round(I.set_iou(F.col("spans"), F.col("targets")), 5).alias("t_iou"))
+
+
+@query(f"""WITH {SPANS_SQL} SELECT user_id, event_id, round(greatest(0.0, a), 6) AS start_h, round(least(360.0, b), 6) AS end_h FROM s WHERE b > a AND least(360.0, b) > greatest(0.0, a)""")
+def clip_spans(spark, d):
+    cut = _spans(spark, d).withColumn("c", F.explode(I.clip(F.array(I.span(F.col("start"), F.col("end"), F.col("score"))), F.lit(360.0))))
+    return cut.select("user_id", "event_id", F.round("c.start", 6).alias("start_h"), F.round("c.end", 6).alias("end_h"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_linenumber::DOUBLE AS start_s, l_quantity::INT::DOUBLE AS end_s, 1.0::DOUBLE AS score FROM lineitem WHERE l_quantity::INT > l_linenumber""")
+def parse_spans_text(spark, d):
+    li = _t(spark, d, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    text = F.when(F.col("l_orderkey") % 2 == 0, F.format_string("%d to %d", "l_linenumber", q)).otherwise(F.format_string("[[%d, %d]]", "l_linenumber", q))
+    return li.select("l_orderkey", "l_linenumber", F.explode(I.parse_spans(text)).alias("s")).select("l_orderkey", "l_linenumber", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.score")
+
+
+NMS_SQL = f"""WITH RECURSIVE {SPANS_SQL}, r AS (SELECT user_id, a, b, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, a, b) AS k FROM p),
+f AS (SELECT user_id, 1::BIGINT AS k, [a] AS xs, [b] AS ys, true AS kept, a, b, score FROM r WHERE k = 1
+  UNION ALL SELECT r.user_id, r.k, CASE WHEN ok THEN list_append(f.xs, r.a) ELSE f.xs END, CASE WHEN ok THEN list_append(f.ys, r.b) ELSE f.ys END, ok, r.a, r.b, r.score
+  FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1,
+  LATERAL (SELECT NOT coalesce(list_bool_or(list_transform(list_zip(f.xs, f.ys), lambda z: greatest(0.0::DOUBLE, least(z[2], r.b) - greatest(z[1], r.a))
+     > 0.3 * ((z[2] - z[1]) + (r.b - r.a) - greatest(0.0::DOUBLE, least(z[2], r.b) - greatest(z[1], r.a))))), false) AS ok) o)
+SELECT user_id, round(a, 6) AS start_h, round(b, 6) AS end_h, round(score, 6) AS score FROM f WHERE kept"""
+
+
+@query(NMS_SQL)
+def temporal_nms(spark, d):
+    r = _records(spark, d).select(F.col("id").alias("user_id"), F.explode(I.nms(F.col("spans"), 0.3)).alias("s"))
+    return r.select("user_id", F.round("s.start", 6).alias("start_h"), F.round("s.end", 6).alias("end_h"), F.round("s.score", 6).alias("score"))
+
+
+@query()
+def consolidate(spark, d):
+    r = _records(spark, d).select(F.col("id").alias("user_id"), F.posexplode(I.consolidate(F.col("spans"), F.lit(DURATION))).alias("rank", "s"))
+    return r.select("user_id", "rank", F.round("s.start", 6).alias("start_h"), F.round("s.end", 6).alias("end_h"), F.round("s.score", 6).alias("score"))
+
+
+@query()
+def assignment_metrics(spark, d):
+    m = E.multi_summary(_records(spark, d, 4))
+    return m.select(*[F.round(c, 5).alias(c) for c in m.columns])
+
+
+@query("""SELECT o_orderkey, i, round(least(dur - 1e-4, (i + 0.5) * (dur / n)), 9) AS ts FROM (SELECT o_orderkey, o_totalprice / 1000 AS dur, (o_orderkey % 7)::INT AS n FROM orders),
+LATERAL (SELECT unnest(range(0, n)) AS i) WHERE dur > 0""")
+def uniform_timestamps(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("dur"), (F.col("o_orderkey") % 7).cast("int").alias("n"))
+    return o.select("o_orderkey", F.posexplode(T.uniform_timestamps(F.lit(0.0), F.col("dur"), F.col("n"))).alias("i", "ts")).select("o_orderkey", F.col("i").cast("long").alias("i"), F.round("ts", 9).alias("ts"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice / 100 AS dur FROM orders), n AS (SELECT *, greatest(0, floor((dur - 65) / 41)::INT + 1) AS last FROM o)
+SELECT o_orderkey, i, round(i * 41.0, 6) AS start_s, round(CASE WHEN i = last THEN dur ELSE i * 41.0 + 45 END, 6) AS end_s FROM n, LATERAL (SELECT unnest(range(0, last + 1)) AS i) WHERE dur > 0""")
+def uniform_windows(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", F.posexplode(T.uniform_windows(F.col("o_totalprice") / 100)).alias("i", "w"))
+    return o.select("o_orderkey", F.col("i").cast("long").alias("i"), F.round("w.start", 6).alias("start_s"), F.round("w.end", 6).alias("end_s"))
+
+
+@query("""WITH n AS (SELECT unnest(range(2, 121))::INT AS n),
+f AS (SELECT n, max(m) AS feasible FROM n, LATERAL (SELECT unnest(range(2, n + 1))::INT AS m) WHERE m * (1 + m % 2) + 2 * least(m, 8, greatest(2, ceil(sqrt(m))::INT)) <= 64 GROUP BY n),
+k AS (SELECT n, feasible, least(feasible, 8, greatest(2, ceil(sqrt(feasible))::INT)) AS kept FROM f)
+SELECT n, feasible, kept, max(v)::INT AS router, (64 - max(v) * feasible)::INT AS local FROM k, (VALUES (1), (2), (3), (4)) t(v) WHERE v * feasible % 2 = 0 AND v * feasible + 2 * kept <= 64 GROUP BY n, feasible, kept""")
+def budget_policy(spark, d):
+    return T.budget_table(spark, 120).select("n", "feasible", "kept", "router", "local")
+
+
+@query("""SELECT n, i AS rank, 2 * ((64 - n) // 2 // n + CASE WHEN i < (64 - n) // 2 % n THEN 1 ELSE 0 END)::INT AS frames FROM (SELECT unnest(range(2, 17))::INT AS n), LATERAL (SELECT unnest(range(0, n))::INT AS i)""")
+def frame_allocation(spark, d):
+    return spark.createDataFrame([(n, i, x) for n in range(2, 17) for i, x in enumerate(T.distribute(64 - n, n))], "n int, rank int, frames int")
+
+
+@query()
+def boundary_windows(spark, d):
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(_hours())).alias("b"))
+    return e.select("user_id", F.posexplode(T.windows_from_boundaries(F.lit(DURATION), F.col("b"))).alias("i", "w")).select("user_id", "i", F.round("w.start", 6).alias("start_h"), F.round("w.end", 6).alias("end_h"))
+
+
+@query("""WITH e AS (SELECT user_id, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, event_id FROM events),
+n AS (SELECT *, ntile(8) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM e)
+SELECT user_id, (g - 1)::INT AS i, round(min(t), 6) AS start_h, round(max(t) + 1, 6) AS end_h FROM n GROUP BY user_id, g""")
+def coalesce_windows(spark, d):
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(_hours().alias("t"), "event_id"))).alias("e"))
+    w = F.transform("e", lambda x: T.window(x["t"], x["t"] + 1))
+    return e.select("user_id", F.posexplode(T.coalesce_windows(w, F.lit(8))).alias("i", "w")).select("user_id", "i", F.round("w.start", 6).alias("start_h"), F.round("w.end", 6).alias("end_h"))
+
+
+def _evidence(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("id"), F.col("embedding").cast("array<double>").alias("emb"))
+    q = e.groupBy(((F.col("id") + 9) % 10).alias("id")).agg(F.min_by("emb", "vec_id").alias("q"))
+    w = Window.partitionBy("id").orderBy("vec_id")
+    return e.withColumn("idx", F.row_number().over(w) - 1).withColumn("ts", 0.5 * F.col("idx")).join(q, "id").withColumn("score", V.dot(F.col("emb"), F.col("q")))
+
+
+EVIDENCE_SQL = """e AS (SELECT vec_id, label::INT AS id, embedding::DOUBLE[] AS emb FROM embeddings),
+q AS (SELECT (id + 9) % 10 AS id, arg_min(emb, vec_id) AS q FROM e GROUP BY 1),
+v AS (SELECT e.id, vec_id, row_number() OVER (PARTITION BY e.id ORDER BY vec_id) - 1 AS idx, list_dot_product(emb, q.q) AS score FROM e JOIN q ON q.id = e.id)"""
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT id, vec_id, round(idx * 0.5, 6) AS ts, round(score, 5) AS score FROM v")
+def query_scores(spark, d):
+    return _evidence(spark, d).select("id", "vec_id", F.round("ts", 6).alias("ts"), F.round("score", 5).alias("score"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS emb FROM embeddings), q AS (SELECT emb AS t FROM e ORDER BY vec_id LIMIT 8)
+SELECT vec_id, round(max(list_cosine_similarity(emb, t)), 5) AS maxsim FROM e, q GROUP BY vec_id""")
+def maxsim(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("emb"))
+    tokens = e.orderBy("vec_id").limit(8).agg(F.collect_list("emb").alias("tokens"))  # a query has a fixed number of tokens
+    rows = e.join(F.broadcast(tokens))
+    return rows.select("vec_id", F.round(F.array_max(F.transform("tokens", lambda t: V.cosine(F.col("emb"), t))), 5).alias("maxsim"))
+
+
+@query("""SELECT label::INT AS label, i, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2""")
+def sentence_pool(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("label").cast("int").alias("label"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    return e.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg("x"), 5).alias("mean"))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, m AS (SELECT id, floor(idx / 2) AS ts, max((round(score, 9), idx)) AS m FROM v GROUP BY 1, 2)
+SELECT id, ts::DOUBLE AS ts, round(m[1], 5) AS score, m[2]::BIGINT AS idx FROM m""")
+def temporal_scores(spark, d):
+    r = _evidence(spark, d).select("id", "idx", F.floor(F.col("idx") / 2).cast("double").alias("ts"), F.round("score", 9).alias("score"))
+    return S.temporal_scores(r).select("id", "ts", F.round("score", 5).alias("score"), F.col("idx").cast("long").alias("idx"))
+
+
+def _corridors(spark, d):
+    r = _evidence(spark, d).groupBy("id").agg(F.collect_list(F.struct(F.col("ts").alias("t"), F.round("score", 9).alias("score"))).alias("s"), (F.max("ts") + 0.5).alias("duration"))
+    return r.select("id", "duration", F.posexplode(T.corridors(F.col("s"), F.col("duration"), 3)).alias("corridor", "c")).select("id", "duration", "corridor", F.col("c.start").alias("c_start"), F.col("c.end").alias("c_end"), "c.score")
+
+
+@query()
+def corridors(spark, d):
+    return _corridors(spark, d).select("id", "corridor", F.round("c_start", 6).alias("c_start"), F.round("c_end", 6).alias("c_end"), F.round("score", 5).alias("score"))
+
+
+@query()
+def boundary_bands(spark, d):
+    b = S.boundary_bands(_evidence(spark, d).select("id", "ts", "score"), _corridors(spark, d).drop("score"))
+    return b.select("id", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"), "role", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {SPANS_SQL}, n AS (SELECT user_id, event_id, a, b, greatest(2, ceil((b - a) * 0.5)::INT) AS n FROM p),
+x AS (SELECT user_id, event_id, least(b - 1e-4, a + (i + 0.5) * ((b - a) / n)) AS t FROM n, LATERAL (SELECT unnest(range(0, n)) AS i))
+SELECT user_id, count(DISTINCT round_even(t, 6)) AS n, round(min(t), 5) AS first_h, round(max(t), 5) AS last_h FROM x GROUP BY 1""")
+def observation_timestamps(spark, d):
+    w = _spans(spark, d).where("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("event_id").alias("win"), "start", "end", F.lit("content").alias("role"))
+    return S.observations(w, 0.5, pad=False).groupBy(F.col("id").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.min("ts"), 5).alias("first_h"), F.round(F.max("ts"), 5).alias("last_h"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS t, (event_type <> 'click')::INT AS pass FROM events WHERE event_type IN ('click', 'view'))
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, pass, event_id) AS pos FROM e""")
+def evidence_union(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("idx"), _hours().alias("ts"), "event_type")
+    u = S.concatenated(e.where("event_type = 'click'"), e.where("event_type = 'view'"))
+    return u.select(F.col("id").alias("user_id"), F.col("idx").alias("event_id"), F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT id, vec_id, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, idx) AS rank FROM v QUALIFY rank <= 5")
+def topk_windows(spark, d):
+    r = _evidence(spark, d).withColumn("score", F.round("score", 9))
+    return E.ranked(r, ["id"], [F.desc("score"), "idx"], 5).select("id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def timeline_coverage_topk(spark, d):
+    return S.coverage_topk(_evidence(spark, d).select("id", F.col("idx").cast("long").alias("idx"), "ts", F.round("score", 9).alias("score")), 16).select("id", "idx", "ts")
+
+
+@query()
+def diverse_pack(spark, d):
+    r = _evidence(spark, d).select("id", F.col("idx").cast("long").alias("idx"), "ts", "score", "emb", (F.col("idx") % 20 == 0).alias("anchor"))
+    return S.diverse_pack(r, 16)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti(spark, d):
+    return E.pending(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_fill_empty(spark, d):
+    log = _t(spark, d, "labels").withColumn("at", F.lit(0))
+    r = _t(spark, d, "documents").select("doc_id").join(E.last_wins(log, "doc_id", "at"), "doc_id", "left")
+    return r.select("doc_id", F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("quality"))
+
+
+@query("""SELECT count(*) AS requested, count(l.doc_id) AS successful, count(*) - count(l.doc_id) AS failed,
+CASE WHEN count(*) = 0 THEN 'empty' WHEN count(l.doc_id) = 0 THEN 'failed' WHEN count(*) > count(l.doc_id) THEN 'partial' ELSE 'complete' END AS status
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+def run_summary(spark, d):
+    return E.run_summary(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
+
+
+@query()
+def seeded_subset(spark, d):
+    return S.seeded_subset(spark, _t(spark, d, "documents").select("doc_id"), "doc_id", 7, 12.5)
+
+
+@query("""SELECT regexp_extract(url, '([^/]+)$', 1) AS stem, min(url) AS url FROM pages GROUP BY 1""")
+def video_catalog_dedupe(spark, d):
+    p = _t(spark, d, "pages").withColumn("stem", F.regexp_extract("url", "([^/]+)$", 1))
+    return p.groupBy("stem").agg(F.min("url").alias("url"))
+
+
+@query("""SELECT (o_totalprice >= 50000)::INT + (o_totalprice >= 150000)::INT + (o_totalprice >= 300000)::INT AS stratum, count(*) AS "count", round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1""")
+def strata_means(spark, d):
+    return E.strata(_t(spark, d, "orders"), "o_totalprice", [50000.0, 150000.0, 300000.0], "o_totalprice").select("stratum", "count", F.round("mean", 2).alias("mean"))
+
+
+def _samples(spark, d):
+    """One sample per user, as long as the events' thirty days have hours."""
+    u = _t(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("query"))
+    return u.select(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("v"), F.col("user_id")).alias("video"), F.lit(DURATION).alias("duration"), "query")
+
+
+def _method(name):
+    def run(spark, d):
+        p = M.METHODS.create(name)(_samples(spark, d), M.Stub()).select("id", F.posexplode("spans").alias("rank", "s"))
+        return p.select("id", "rank", F.round("s.start", 4).alias("start_s"), F.round("s.end", 4).alias("end_s"), F.round("s.score", 6).alias("score"))
+
+    return run
+
+
+for _name in M.METHODS.names():
+    QUERIES["method_" + _name.replace("-", "_")] = _method(_name)

@@ -14,7 +14,7 @@ ARR = f"spans array<{I.SPAN}>"
 
 
 def one(spark, spans, column, **extra):
-    df = spark.createDataFrame([(spans,)], ARR)
+    df = spark.createDataFrame([([tuple(map(float, s)) for s in spans],)], ARR)
     return df.select(column.alias("r")).first()["r"]
 
 
@@ -27,7 +27,7 @@ def test_nms_is_strict_and_ordered(spark):
 
 def test_nms_and_merge_equal_loops(spark):
     rnd = random.Random(1)
-    rows = [(i, [(a := rnd.randint(0, 40), a + rnd.randint(1, 12), rnd.randint(1, 9) / 10) for _ in range(rnd.randint(0, 9))]) for i in range(200)]
+    rows = [(i, [(a := float(rnd.randint(0, 40)), a + rnd.randint(1, 12), rnd.randint(1, 9) / 10) for _ in range(rnd.randint(0, 9))]) for i in range(200)]
     df = spark.createDataFrame(rows, f"id int, {ARR}").select("id", I.nms(F.col("spans"), 0.3).alias("n"), I.merge(F.col("spans"), 3.0).alias("m"))
     own = dict(rows)
     for r in df.collect():
@@ -63,10 +63,10 @@ def test_assignment_equals_brute_force():
 
 
 def test_perfect_prediction(spark):
-    rec = spark.createDataFrame([(1, [(0, 2, 1.0), (5, 8, 1.0)], [(0, 2, 1.0), (5, 8, 1.0)]), (2, [(0, 1, 1.0)], [])], f"id int, {ARR}, targets array<{I.SPAN}>")
+    rec = spark.createDataFrame([(1, [(0.0, 2.0, 1.0), (5.0, 8.0, 1.0)], [(0.0, 2.0, 1.0), (5.0, 8.0, 1.0)]), (2, [(0.0, 1.0, 1.0)], [])], f"id int, {ARR}, targets array<{I.SPAN}>")
     r = E.multi_summary(rec).first()
     assert (r["count"], r.c_acc, r.etf1, r.t_iou) == (1, 100, 100, 100)
-    r = E.single_summary(spark.createDataFrame([(1, [(5, 8, 1.0)], [(1, 2, 1.0), (5, 8, 1.0)])], rec.schema)).first()
+    r = E.single_summary(spark.createDataFrame([(1, [(5.0, 8.0, 1.0)], [(1.0, 2.0, 1.0), (5.0, 8.0, 1.0)])], rec.schema)).first()
     assert (r.miou, r.r1_7) == (1, 1)
 
 

@@ -27,6 +27,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store reserves MBs for its manifest
     "spark.sql.streaming.metricsEnabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialize, partitions
-from spanloom.llm.components import components
+from spanloom.llm.components import components, merged
 
 N = 5
 CAP = 8  # members of a bucket whose pairs are all candidates
@@ -317,8 +317,7 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
             print("round", leaders, rows.count(), rows_left.count(), pairs.count(), rows_left.agg(F.max("size"), F.countDistinct("id"), F.countDistinct("sig")).first())
         fresh = materialize(verified(pairs, docs), "ngram-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(fresh)
-        groups = materialize(components(edges), "ngram-groups")
+        groups = merged(groups, fresh)
         if leaders >= 2**31 or rows_left.agg(F.max("size")).first()[0] <= leaders:
             return groups  # every member has been a leader
         rows = rows_left.select("sig", "id", "size")

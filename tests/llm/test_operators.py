@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, langid, line_dedup, mixing, ngram_join, pii, stream_dedup, token_files, toxicity
+from spanloom.llm import ann, bpe, components, langid, line_dedup, mixing, ngram_join, pii, stream_dedup, token_files, toxicity
 from spanloom.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, set string"
@@ -252,3 +252,14 @@ def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for got in (ngram_join.join(empty), mixing.query(empty), pii.find(empty), line_dedup.query(empty), langid.query(empty), toxicity.query(empty, labels), token_files.write_and_read(empty, tokenizer()), bpe.digests(empty, tokenizer()), mixing.mixed(empty)):
         assert got.count() == 0
+
+
+def test_merged_equals_components_from_scratch(spark):
+    rng = np.random.default_rng(4)
+    first, second = ([(int(a), int(b)) for a, b in rng.integers(0, 120, (60, 2))] for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    grown = components.merged(components.components(frame(first)), frame(second))
+    whole = components.components(frame(first + second))
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
+    groups = components.components(frame(first))
+    assert components.merged(groups, frame([])) is groups

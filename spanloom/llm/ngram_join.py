@@ -25,7 +25,9 @@ own; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -41,6 +43,7 @@ CAP = 8  # members of a bucket whose pairs are all candidates
 SLACK = 1.25
 DEBUG = False
 SMALL = 16  # below this size, signatures are of two cells
+WORDS = [f"w{i}" for i in range(16)]  # columns of a set's parity map, 64 bits each
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(5).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
@@ -266,9 +269,17 @@ def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     return among(open_docs, edges, least)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """1024 bits: whether an odd number of hashes falls on each. Two maps differ in no more bits than the sets in hashes."""
+    odd = np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingles(t).tobytes() for t in b["text"]]})
+        found = [shingles(t) for t in b["text"]]
+        maps = np.array([parity(s) for s in found], np.int64).reshape(len(found), len(WORDS))
+        yield pd.DataFrame({"doc_id": b["doc_id"], "set": [s.tobytes() for s in found], "held": [len(s) for s in found]} | dict(zip(WORDS, maps.T)))
 
 
 def _need(base: DataFrame, hot: DataFrame) -> DataFrame:
@@ -290,13 +301,18 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
     least: id and the shingles that a set shares with any similar one at least. A shingle's bucket are the sets that
     hold it. Of two similar sets, the smallest bucket that both are in is not among the `least` - 1 largest of either,
     so these are left out: a common passage in a text makes no candidates, unless the text is little else.
+
+    Two exact bounds hold within a bucket, before a pair is made. The rarest shingle that two sets share has all that
+    they share at its own place or a larger one, so the lesser place in the two sets bounds the intersection. And
+    the bits in which the sets' parity maps differ bound their difference from below.
     """
     groups = materialize(components(edges), "ngram-groups")
     rows = signed(docs, whole=True)
-    docs = materialize(docs.mapInPandas(_stored, "doc_id long, set binary"), "ngram-stored")
+    docs = materialize(docs.mapInPandas(_stored, ", ".join(["doc_id long, set binary, held long", *(f"{w} long" for w in WORDS)])), "ngram-stored")
+    maps = docs.drop("set").withColumnRenamed("doc_id", "id")
     seen = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     largest = Window.partitionBy("id").orderBy(F.desc("size"), "sig")
-    rows = rows.join(seen, "sig").join(least, "id").withColumn("r", F.row_number().over(largest)).where("r >= least").select("sig", "id")
+    rows = rows.join(seen, "sig").join(least, "id").withColumn("r", F.row_number().over(largest)).where("r >= least").select("sig", "id", "r")
     rows = materialize(rows, "ngram-prefix")
     rows = materialize(rows.join(rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig"), "ngram-members")
     leaders, tried = 2, None
@@ -308,8 +324,12 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
             return groups
         draw = F.shiftrightunsigned(F.xxhash64("sig", "id"), 33)  # 31 bits
         chosen = rows_left.where((F.col("id") == F.col("first")) | (draw * F.col("size") <= F.lit(leaders) * F.lit(2**31)))
-        chosen = chosen.select("sig", F.col("id").alias("leader"), F.col("component").alias("other"))
-        pairs = rows_left.join(chosen, "sig").where("component != other").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        chosen = chosen.join(maps, "id").select("sig", *(F.col(c).alias(f"{c}_l") for c in ("id", "component", "r", "held", *WORDS)))
+        # similar sets share 3/7 of their sizes' sum at least, and differ in 1/7 of it at most
+        differ = reduce(add, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_l"))) for w in WORDS))
+        total = F.col("held") + F.col("held_l")
+        near = (F.col("component") != F.col("component_l")) & (7 * F.least("r", "r_l") >= 3 * total) & (7 * differ <= total)
+        pairs = rows_left.join(maps, "id").join(chosen.withColumnRenamed("id_l", "leader"), "sig").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
@@ -320,7 +340,7 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
         groups = merged(groups, fresh)
         if leaders >= 2**31 or rows_left.agg(F.max("size")).first()[0] <= leaders:
             return groups  # every member has been a leader
-        rows = rows_left.select("sig", "id", "size")
+        rows = rows_left.select("sig", "id", "r", "size")
         leaders *= 4
 
 

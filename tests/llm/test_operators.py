@@ -254,6 +254,16 @@ def test_empty_tables(empty, spark):
         assert got.count() == 0
 
 
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64, n // 3, np.uint64)]))
+        bits = int(np.bitwise_count((ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+        assert not (ngram_join.parity(a) ^ ngram_join.parity(a.copy())).any()
+
+
 def test_merged_equals_components_from_scratch(spark):
     rng = np.random.default_rng(4)
     first, second = ([(int(a), int(b)) for a, b in rng.integers(0, 120, (60, 2))] for _ in range(2))
@@ -263,3 +273,24 @@ def test_merged_equals_components_from_scratch(spark):
     assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
     groups = components.components(frame(first))
     assert components.merged(groups, frame([])) is groups
+
+
+def test_families_of_near_copies_equal_brute_force(spark):
+    """Buckets above the cap, with similar and hardly dissimilar members."""
+    rnd = random.Random(8)
+    base, made = text(rnd, 90).split(), []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randint(0, 12)}"
+        made.append((i, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in made for w in [t.split()]}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    assert 1 < len(set(root.values())) < 60
+    got = ngram_join.join(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == root

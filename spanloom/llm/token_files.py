@@ -46,14 +46,19 @@ NO_ID = -(2**63)
 
 #: Case mappings of characters up to here are settled and don't look at their neighbours.
 BEYOND = re.compile("[^\x00-\u024f]")
+#: str.split() also splits at these, which are no white space.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Marks that are taken off a word's end, and words that the library is given at a time.
+MARKS, JOINED = ".,;:!?#$%&*)", 256
 
 
 class Library:
-    """The tokenizers library over a text's chunks between ASCII blanks, each distinct chunk encoded once.
+    """The tokenizers library over a text's chunks between white space, each distinct chunk encoded once.
 
     What the vocabulary's own normalizer and pre-tokenizer do allows for that, and is asked of them: where they drop
-    white space no token crosses a blank; where they lower the case, chunks are remembered in lower case; where
-    they part a word from a mark behind it, both are remembered by themselves. Otherwise whole texts are encoded.
+    white space no token crosses it; where they lower the case, chunks are remembered in lower case; where they part
+    a word from marks behind it, both are remembered by themselves; where a word's last token bears a suffix, many
+    words are encoded as one text and its ids are parted behind those tokens. Otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -64,26 +69,52 @@ class Library:
         self.lib.no_truncation()
         self.lib.no_padding()
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
-        self.by_chunk = not ids(" \n") and ids("to be") == ids("to") + ids("be")
+        self.by_chunk = not ids(" \n\t\xa0\u2003") and ids("to be\nor\u2003so") == ids("to") + ids("be") + ids("or") + ids("so")
         self.folds = self.by_chunk and self.lib.normalizer is not None and self.lib.normalizer.normalize_str("AÉ") == "aé"
-        self.parts = self.by_chunk and self.lib.pre_tokenizer is not None and len(self.lib.pre_tokenizer.pre_tokenize_str("é.")) == 2
+        parts = self.lib.pre_tokenizer.pre_tokenize_str("é" + MARKS) if self.by_chunk and self.lib.pre_tokenizer is not None else []
+        self.parts = len(parts) == 2 and parts[1][0] == MARKS
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None) if self.parts else None
+        self.last = np.zeros(self.lib.get_vocab_size() if suffix else 0, bool)
+        for token, i in self.lib.get_vocab().items() if suffix else ():
+            self.last[i] = token.endswith(suffix)
         self.memory: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[str]:
+        """Learns words of letters, many at a time; gives back those whose ids can't be told apart."""
+        memory, left = self.memory, []
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                left += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, ends):
+                memory[w] = raw[at:end]
+                at = end
+        return left
+
     def _learn(self, chunks: list[str]) -> None:
-        memory, new, ends = self.memory, [], []
+        memory, words, new, ends = self.memory, set(), [], []
+        normal = self.lib.normalizer.normalize_str if self.lib.normalizer is not None else str
         for c in chunks:
-            if self.parts and c[-1:] in (".", ",") and c[:-1].isalpha():
-                ends.append(c)
-                c = c[:-1]
-                if c in memory:
-                    continue
-            new.append(c)
-        if ends:
-            new += [".", ","]
+            word = c.rstrip(MARKS) if self.parts else c
+            if not word.isalpha() or not (word.isascii() or normal(word).isalpha()):  # İ is i and a mark in lower case
+                new.append(c)
+                continue
+            if word != c:
+                ends.append((c, word, c[len(word) :]))
+                if ends[-1][2] not in memory:
+                    new.append(ends[-1][2])
+            if word not in memory:
+                words.add(word)
+        words = list(words)
+        new += self._words(words) if len(self.last) and words else words
         for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
             memory[c] = np.asarray(e.ids, "<u4").tobytes()
-        for c in ends:
-            memory[c] = memory[c[:-1]] + memory[c[-1]]
+        for c, word, marks in ends:
+            memory[c] = memory[word] + memory[marks]
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_chunk:
@@ -93,7 +124,7 @@ class Library:
         for t in texts:
             if self.folds and (t.isascii() or not BEYOND.search(t)) and "<|" not in t:
                 t = t.lower()
-            chunks = t.split(" ")
+            chunks = t.split(" ") if SEPARATORS.search(t) else t.split()
             if new := [c for c in set(chunks) if c not in self.memory]:
                 if len(self.memory) > MEMORY:
                     self.memory.clear()

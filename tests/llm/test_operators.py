@@ -294,3 +294,15 @@ def test_families_of_near_copies_equal_brute_force(spark):
     assert 1 < len(set(root.values())) < 60
     got = ngram_join.join(spark.createDataFrame(made, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == root
+
+
+def test_chunked_encoding_equals_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    texts = ["", " lead\ttrail \n", "a\x1cb c", "İ. İ* Aİ,", "क़. ok", "It's 'tis don't--x", "ΣΑΣ ΟΔΟΣ. ςσ", "é ́x", "<|endoftext|> x", "ab12.. x²", "日本語。 ﬁ. ﬀ!", "ok🙂! a‍b"]
+    texts += ["".join(rng.choice("aAbé'.,;#*)( \n\t0ΣǅßŉİıÅ中́ \x1f\x85<|") for _ in range(40)) for _ in range(2000)]
+    lib = Tokenizer.from_file(tokenizer())
+    got = token_files.Library(tokenizer()).encode_many(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t

@@ -27,11 +27,13 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import released
+
 #: Entries of a worker's memory of encoded chunks, and as many of pieces; the memory is emptied when full, results don't depend on it.
 MEMORY = 400_000
 #: str.split() also splits at these, which are no white space.
@@ -221,24 +223,34 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_rows(docs: DataFrame, path: str, stretch: int = 8192) -> DataFrame:
-    """doc_id, ids (binary), n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle."""
+def encode_rows(docs: DataFrame, path: str, keep_ids: bool = True, stretch: int = 8192, rows: int = 256) -> DataFrame:
+    """doc_id, ids (binary, if kept), n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle. `rows` at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = enc.encode(text)
-                dec, digest, numbers = Decoder(enc.of), hashlib.sha256(), np.frombuffer(ids, "<u4")
-                for at in range(0, len(numbers), stretch):
-                    digest.update(dec.text(numbers[at : at + stretch].tolist()).encode("utf-8"))
-                digest.update(dec.end().encode("utf-8"))
-                rows.append((ids, len(numbers), hashlib.sha256(ids).hexdigest(), digest.hexdigest()))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                held, n, own, decoded = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = enc.encode(text)
+                    dec, digest, numbers = Decoder(enc.of), hashlib.sha256(), np.frombuffer(ids, "<u4")
+                    for i in range(0, len(numbers), stretch):
+                        digest.update(dec.text(numbers[i : i + stretch].tolist()).encode("utf-8"))
+                    digest.update(dec.end().encode("utf-8"))
+                    n.append(len(numbers))
+                    own.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(digest.hexdigest())
+                    if keep_ids:
+                        held.append(ids)
+                first = [part.column(0), pa.array(held, pa.binary())] if keep_ids else [part.column(0)]
+                arrays = [*first, pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    fields = ["doc_id long", *["ids binary"] * keep_ids, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+    names = [f.split()[0] for f in fields]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), ", ".join(fields))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    return encode_rows(docs, path).drop("ids")
+    return encode_rows(docs, path, keep_ids=False)

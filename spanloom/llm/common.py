@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +63,20 @@ def n_words(text: Column) -> Column:
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's text, modulo mod."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(0))
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, but what its task has freed goes back to the system at the end: workers live on between tasks and stages."""
+
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task

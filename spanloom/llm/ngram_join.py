@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, partitions
+from spanloom.llm.common import materialize, partitions, released
 from spanloom.llm.components import components, merged
 
 N = 5
@@ -144,7 +144,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), *set_key(s), *(e + [0, 0])[:2]))
             yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "k1", "k2", "e0", "e1"])], axis=1)
 
-    return docs.mapInPandas(run, "doc_id long, n long, k1 long, k2 long, e0 int, e1 int")
+    return docs.mapInPandas(released(run), "doc_id long, n long, k1 long, k2 long, e0 int, e1 int")
 
 
 def signed(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -165,7 +165,7 @@ def signed(docs: DataFrame, whole: bool = False) -> DataFrame:
             if held:
                 yield _batch(sigs, ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, id long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "sig long, id long")
 
 
 def _batch(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -248,12 +248,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = "text" in docs.columns
     own = docs.select("doc_id", "text" if texts else "set")
     rows = pairs.join(own.toDF("b", "y"), "b").join(own.toDF("a", "x"), "a")
-    return rows.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInPandas(released(run), "a long, b long")
 
 
 def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     """node, component of all representatives with links. docs: doc_id, text of the representatives; base: their sets()."""
-    found = signed(docs, False).repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(_buckets, "a long, b long, parity int")
+    found = signed(docs, False).repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(released(_buckets), "a long, b long, parity int")
     found = materialize(found.groupBy("a", "b", "parity").agg(F.count("*").alias("n")), "ngram-buckets")
     need = _need(base, found.where("b is null").select(F.col("a").alias("id"), "parity", F.col("n").alias("hot")))
     need = materialize(need, "ngram-need")
@@ -290,7 +290,7 @@ def _need(base: DataFrame, hot: DataFrame) -> DataFrame:
             rows = [(i, band & 1, shared_least(n, band), e) for i, n, *es in zip(b["doc_id"], b["n"], b["e0"], b["e1"]) for band, e in zip(bands(n), es)]
             yield pd.DataFrame(rows, columns=["id", "parity", "full", "empty"])
 
-    least = base.select("doc_id", "n", "e0", "e1").mapInPandas(run, "id long, parity int, full long, empty long")
+    least = base.select("doc_id", "n", "e0", "e1").mapInPandas(released(run), "id long, parity int, full long, empty long")
     least = least.groupBy("id", "parity").agg(F.min("full").alias("full"), F.max("empty").alias("empty"))
     return least.join(hot, ["id", "parity"], "left").select("id", "parity", (F.col("full") - F.col("empty") - F.coalesce("hot", F.lit(0))).alias("need"))
 
@@ -308,7 +308,7 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
     """
     groups = materialize(components(edges), "ngram-groups")
     rows = signed(docs, whole=True)
-    docs = materialize(docs.mapInPandas(_stored, ", ".join(["doc_id long, set binary, held long", *(f"{w} long" for w in WORDS)])), "ngram-stored")
+    docs = materialize(docs.mapInPandas(released(_stored), ", ".join(["doc_id long, set binary, held long", *(f"{w} long" for w in WORDS)])), "ngram-stored")
     maps = docs.drop("set").withColumnRenamed("doc_id", "id")
     seen = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     largest = Window.partitionBy("id").orderBy(F.desc("size"), "sig")

@@ -54,11 +54,11 @@ class Model:
         words = [w for w in distinct if w in self.words] if len(distinct) < len(self.words) else [w for w in self.words if w in distinct]
         starts = [w for w in distinct if len(w) > 4 and any(w[:k] in self.starts for k in BEGINNINGS if len(w) > k)] if self.starts else []
         fixed = distinct & INSULTS
-        upper = sum(map(str.isupper, text.split()[:400])) if len(text) > 20 else 0
+        spoken = text.split() if len(text) > 20 else []
         votes = [
             len(fixed) >= 1, len(fixed) >= 2, len(words) >= 1, len(words) >= 2, len(starts) >= 1, len(starts) >= 2,
             any(self.words[w] % 2 for w in words), any(self.words[w] % 2 == 0 for w in words),
-            bool(fixed) and bool(ADDRESS.search(low)), upper > 0.5 * min(400, len(text) / 6),
+            bool(fixed) and bool(ADDRESS.search(low)), 2 * sum(map(str.isupper, spoken)) > len(spoken),
         ]
         return words, starts, list(map(int, votes))
 

@@ -205,6 +205,14 @@ def test_toxicity(spark, docs):
     assert toxicity.query(docs, lab.where("false")).count() == docs.count()
 
 
+def test_shouting_is_counted_over_the_whole_text():
+    shouts = lambda *parts: toxicity.Model().hits(" ".join(w for word, n in parts for w in [word] * n))[2][-1]
+    assert shouts(("quiet", 500), ("LOUD", 600)) == 1
+    assert shouts(("LOUD", 400), ("quiet", 2000)) == 0
+    assert shouts(("LOUD", 500), ("quiet", 500)) == 0
+    assert shouts(("LOUD", 30), ("quiet", 10)) == 1
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 

@@ -152,7 +152,7 @@ def consolidate(spark, d):
 
 @query()
 def assignment_metrics(spark, d):
-    m = E.multi_summary(_records(spark, d, 4))
+    m = E.multi_summary(_records(spark, d))
     return m.select(*[F.round(c, 5).alias(c) for c in m.columns])
 
 

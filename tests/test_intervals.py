@@ -8,6 +8,7 @@ from spanloom.functions import intervals as I
 from spanloom.functions import timeline as T
 from spanloom.operators import evaluation as E
 from spanloom.operators import selection as S
+from spanloom.plans import catalog
 from spanloom.plans import methods as M
 
 ARR = f"spans array<{I.SPAN}>"
@@ -62,6 +63,36 @@ def test_assignment_equals_brute_force():
         assert abs(sum(g[i][j] for i, j in pairs) - best) < 1e-9
 
 
+def by_permutations(spans, targets):
+    """IoUs of the best one-to-one matching."""
+    iou = lambda a, b: max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / (a[1] - a[0] + b[1] - b[0] - max(0.0, min(a[1], b[1]) - max(a[0], b[0])))
+    few, many = sorted((spans, targets), key=len)
+    return max(([iou(a, b) for a, b in zip(few, p)] for p in itertools.permutations(many, len(few))), key=sum)
+
+
+@pytest.mark.parametrize("most", [None, 4])
+def test_assignment_of_events_equals_brute_force(spark, tmp_path, most):
+    rnd = random.Random(5)
+    rows, spans = [], {}
+    for user, n, m in ((1, 6, 6), (2, 5, 7), (3, 2, 3), (4, 7, 0)):
+        for kind, count in (("click", n), ("purchase", m)):
+            for _ in range(count):
+                at, value = rnd.randint(0, 60), float(rnd.randint(10, 300))
+                rows.append((len(rows), f"2024-01-{1 + at // 24:02d} {at % 24:02d}:00:00", user, kind, value))
+                spans.setdefault((user, kind), []).append((float(at), len(rows), at + value / 10))
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{d}/events.parquet")
+    cut = lambda *key: [(a, b) for a, _, b in sorted(spans.get(key, []))[:most]]
+    pairs = [(cut(u, "click"), cut(u, "purchase")) for u in (1, 2, 3)]  # the fourth has no targets
+    hits = [sum(x >= 0.3 for x in by_permutations(p, t)) for p, t in pairs]
+    r = catalog.assignment_metrics(spark, d).first() if most is None else E.multi_summary(catalog._records(spark, d, most)).first()
+    assert r["count"] == 3
+    assert r.c_acc == pytest.approx(100 * sum(len(p) == len(t) for p, t in pairs) / 3, abs=1e-4)
+    assert r.cardinality_error == pytest.approx(sum(abs(len(p) - len(t)) for p, t in pairs) / 3, abs=1e-4)
+    assert r.tp_3 == pytest.approx(100 * sum(h / len(p) for h, (p, _) in zip(hits, pairs)) / 3, abs=1e-4)
+    assert r.tr_3 == pytest.approx(100 * sum(h / len(t) for h, (_, t) in zip(hits, pairs)) / 3, abs=1e-4)
+
+
 def test_perfect_prediction(spark):
     rec = spark.createDataFrame([(1, [(0.0, 2.0, 1.0), (5.0, 8.0, 1.0)], [(0.0, 2.0, 1.0), (5.0, 8.0, 1.0)]), (2, [(0.0, 1.0, 1.0)], [])], f"id int, {ARR}, targets array<{I.SPAN}>")
     r = E.multi_summary(rec).first()

@@ -138,6 +138,23 @@ def test_methods(spark, name):
     assert {r.id for r in got} == {"a", "b"} and all(r.spans for r in got)
 
 
+@pytest.mark.parametrize("every", [None, 45.0])
+def test_coarse_to_fine_takes_any_number_of_windows(spark, every):
+    assert all(T.plan_budget(n) == T.plan_budget(400) for n in (48, 401, 900, 5000))
+    samples = spark.createDataFrame([("a", "v", 200.0, "x"), ("b", "w", 20_000.0, "y")], "id string, video string, duration double, query string")
+    cuts = every and samples.select("id", F.transform(F.sequence(F.lit(1), F.floor(F.col("duration") / every).cast("int") - 1), lambda i: i * every).alias("boundaries"))
+    seen = []
+
+    class Watching(M.Stub):
+        def predict(self, evidence, samples):
+            seen.append({r.id: r["count"] for r in evidence.groupBy("id").count().collect()})
+            return super().predict(evidence, samples)
+
+    got = {r.id: r.spans for r in M.coarse_to_fine(samples, Watching(), cuts).collect()}
+    assert set(got) == {"a", "b"} and all(got.values())
+    assert seen[0]["b"] == T.plan_budget(401)[3]
+
+
 def test_registry():
     r = M.Registry("thing")
     r.register("a", int)

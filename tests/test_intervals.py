@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -155,6 +156,63 @@ def test_coarse_to_fine_takes_any_number_of_windows(spark, every):
     assert seen[0]["b"] == T.plan_budget(401)[3]
 
 
+class Peaked(M.Stub):
+    """Scores fall with the distance from a peak; embeddings are alike near it and keep what predict was given."""
+
+    def __init__(self, peak, limit=None):
+        super().__init__()
+        self.peak, self.limit = peak, limit
+
+    def encode(self, rows):
+        turn = F.col("ts") / 4
+        return rows.withColumn("emb", F.array(F.cos(turn), F.sin(turn)))
+
+    def score(self, rows, samples):
+        return rows.withColumn("score", -F.abs(F.col("ts") - self.peak))
+
+    def predict(self, evidence, samples):
+        self.evidence = [r.asDict() for r in evidence.orderBy("id", "idx").collect()]
+        return super().predict(evidence, samples)
+
+
+def packed(rows, target, anchors, near=0.51, alike=0.98):
+    """T4 over (ts, score, emb) in the order of their places."""
+    kept, goal = list(anchors), min(len(rows), max(target, len(anchors)))
+    fresh = lambda i: all(abs(rows[i][0] - rows[j][0]) > near or sum(a * b for a, b in zip(rows[i][2], rows[j][2])) < alike for j in kept)
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], i))
+    n, first, last = min(goal - len(kept), math.ceil(math.sqrt(goal))), rows[0][0], rows[-1][0] + 1e-6
+    for b in range(n):
+        edges = [first + (last - first) * k / n for k in (b, b + 1)]
+        kept += [i for i in order if edges[0] <= rows[i][0] < edges[1] and i not in kept and fresh(i)][:1]
+    for check in (fresh, lambda i: True):
+        for i in order:
+            if len(kept) < goal and i not in kept and check(i):
+                kept.append(i)
+    return sorted(kept)
+
+
+def test_multi_evidence_packs_bands_without_near_duplicates(spark, monkeypatch):
+    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y")], "id string, video string, duration double, query string")
+    given, whole = [], S.diverse_pack
+    monkeypatch.setattr(S, "diverse_pack", lambda rows, *args, **more: given.extend(rows.collect()) or whole(rows, *args, **more))
+    backend = Peaked(23.0)
+    M.multi_evidence(samples, backend, fps=(0.1, 1.0, 3.0), ratio=0.25).collect()
+    assert given
+    for sample, duration in (("a", 40.0), ("b", 61.0)):
+        rows = sorted((r for r in given if r.id == sample), key=lambda r: r.idx)
+        scout = {}
+        for i, r in enumerate(rows):
+            if r.role == "global_anchor":
+                scout.setdefault(round(r.ts, 6), i)
+        goal = round(math.ceil(duration * 3) * 0.25)
+        assert len(rows) > goal > len(scout)
+        want = packed([(r.ts, r.score, r.emb) for r in rows], goal, scout.values())
+        assert [r["idx"] for r in backend.evidence if r["id"] == sample] == [rows[i].idx for i in want]
+    backend = Peaked(23.0, limit=12)
+    M.multi_evidence(samples, backend, fps=(0.1, 1.0, 3.0), ratio=0.25).collect()
+    assert [sum(r["id"] == x for r in backend.evidence) for x in ("a", "b")] == [12, 12]
+
+
 def test_registry():
     r = M.Registry("thing")
     r.register("a", int)

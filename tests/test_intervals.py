@@ -213,6 +213,27 @@ def test_multi_evidence_packs_bands_without_near_duplicates(spark, monkeypatch):
     assert [sum(r["id"] == x for r in backend.evidence) for x in ("a", "b")] == [12, 12]
 
 
+def test_coverage_query_keeps_ends_and_bands(spark):
+    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y"), ("c", "u", 150.0, "z")], "id string, video string, duration double, query string")
+    for limit in (None, 9):
+        backend = Peaked(23.0, limit)
+        M.coverage_query(samples, backend).collect()
+        for sample, duration in (("a", 40.0), ("b", 61.0), ("c", 150.0)):
+            n = int(duration * 2)
+            ts = [(i + 0.5) * duration / n for i in range(n)]
+            goal = min(round(n / 8), limit or n)
+            bands = math.ceil(math.sqrt(goal))
+            order = sorted(range(n), key=lambda i: (-(-abs(ts[i] - 23.0)), i))
+            chosen = {0, n - 1}
+            for k in range(bands):
+                low, high = (ts[0] + (ts[-1] + 1e-6 - ts[0]) * j / bands for j in (k, k + 1))
+                chosen |= set([i for i in order if low <= ts[i] < high][:1])
+            chosen |= set([i for i in order if i not in chosen][: max(0, goal - len(chosen))])
+            want = sorted(sorted(chosen, key=order.index)[:goal])
+            assert [r["idx"] for r in backend.evidence if r["id"] == sample] == want, (sample, limit)
+            assert {0, n - 1} <= set(want)
+
+
 def test_registry():
     r = M.Registry("thing")
     r.register("a", int)

@@ -100,11 +100,14 @@ def plan(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0,
 
 def query(docs: DataFrame) -> DataFrame:
     p = plan(docs)
-    return p.select("doc_id", "size", "source_size", "target", "taken", F.transform("passes", lambda x: x["shard"]).alias("shards"))
+    return p.select("doc_id", "size", "source_size", "target", "taken", F.transform("passes", lambda x: x["shard"]).alias("shards"), F.transform("passes", lambda x: x["place"]).alias("places"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs' rows as the mix holds them: a row for each pass that takes some of its words, cut where the quota ends."""
+    """docs' rows as the mix holds them: a row for each pass that takes some of its words, cut where the quota ends.
+
+    Partitions follow each other by shard and, within it, by place; a shard is as many partitions as its size asks for.
+    """
     names = docs.columns
     drawn = plan(docs).where("size(passes) > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("source").alias("_src"), "passes").dropDuplicates(["_id", "_src"])
     rows = docs.join(drawn, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("source") == F.col("_src")))
@@ -116,4 +119,5 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", text)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.col("_p.words") < F.col("_n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    rows = rows.select(*names, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
+    return rows.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*names)

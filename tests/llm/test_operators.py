@@ -95,6 +95,18 @@ def test_mixing(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan(docs.repartition(5)).collect()))
 
 
+def test_mix_is_shuffled_within_shards(spark):
+    rnd = random.Random(11)
+    many = spark.createDataFrame([(i, text(rnd, rnd.randint(1, 60)), rnd.choice("abc")) for i in range(400)], "doc_id long, text string, source string").repartition(3)
+    got = mixing.query(many).collect()
+    assert all(len(r.shards) == len(r.places) for r in got)
+    slots = sorted((s, p, r.doc_id) for r in got for s, p in zip(r.shards, r.places))
+    assert len({s for s, *_ in slots}) == 8
+    order = [r.doc_id for r in mixing.mixed(many).collect()]
+    assert order == [i for *_, i in slots]
+    assert order == [r.doc_id for r in mixing.mixed(many.repartition(7)).collect()]
+
+
 def test_ann(spark):
     rnd = np.random.default_rng(3)
     vec = [(i, [float(x) for x in rnd.standard_normal(16)]) for i in range(700)]

@@ -3,10 +3,13 @@
 Encoding. A piece (what the pre-tokenizer leaves together) is read symbol by symbol. For every end position the
 encoding of the prefix up to it has exactly one last token: the one token ending there whose own merges leave it
 whole and which is a lasting neighbour of the last token of the prefix before it (two tokens are lasting
-neighbours if merging their symbols gives those two tokens again). Each position thus points back by at most
-`lookahead` symbols, the length of the longest token that the merge list can build. Whatever comes later starts from
-one of the last `lookahead` positions, so once the chains of all of those run through one position, the tokens up
-to it are stable: they are emitted and forgotten. Memory is the window, not the piece.
+neighbours if merging their symbols gives those two tokens again). Each position thus points back by one token.
+
+Lookahead. Whether a merge (a, b) is made depends on b's symbols and on what an earlier merge could have done to b's
+end: taken it together with what follows. Going through the merge list by rank, this bounds for every token how many
+symbols behind its end can matter; the largest bound is the merge list's sufficient lookahead. Tokens that end that
+far before the last symbol read are stable: they are emitted and forgotten. Memory is the lookahead and a few token
+lengths, not the piece; texts are encoded, hashed and decoded in stretches.
 
 Decoding. `Decoder` is a state machine fed with ids: for byte-level vocabularies it carries the unfinished bytes of
 a character from one call to the next; for vocabularies without a decoder it joins the tokens' strings by blanks,
@@ -27,15 +30,16 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import released
+from spanloom.llm.common import map_texts
 
-#: Entries of a worker's memory of encoded chunks, and as many of pieces; the memory is emptied when full, results don't depend on it.
-MEMORY = 400_000
+#: Entries of each of the two generations of a worker's memory of encoded chunks; results don't depend on it.
+MEMORY = 160_000
+#: Pairs of tokens of which it is remembered whether they are lasting neighbours.
+PAIRS = 300_000
 #: str.split() also splits at these, which are no white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -69,13 +73,28 @@ class Transducer:
             raise ValueError("only a pre-tokenizer that keeps the matches of its pattern is supported")
         self.pattern = regex.compile(pre["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
         self.literals = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        #: Symbols of the longest token: how far back a later token can reach.
-        self.lookahead = max(len(s.removesuffix(self.suffix) if self.suffix else s) for s in self.ids)
         #: Tokens that the merges build from their own symbols, and the ends of all those.
         self.whole = {s for s in self.ids if s not in self.special and self.merged(self.split(s)) == [s]}
         self.tails = {s[i:] for s in self.whole for i in range(len(s))}
+        #: Symbols of the longest token that can come out.
+        self.longest = max(map(self.length, self.whole), default=1)
+        self.lookahead = self.sufficient_lookahead()
         self._lasting: dict[tuple[str, str], bool] = {}
 
+    def length(self, token: str) -> int:
+        return len(token.removesuffix(self.suffix) if self.suffix else token)
+
+    def sufficient_lookahead(self) -> int:
+        """So many symbols behind a token's end can decide whether it is one; what comes later can't."""
+        taken: dict[str, int] = {}  # by token: as far behind its end as the merges so far, with it on the left, look
+        formed: dict[str, int] = {}  # by token: as far behind its end as its own making looks
+        for a, b in sorted(self.ranks, key=self.ranks.__getitem__):
+            ends = bool(self.suffix) and b.endswith(self.suffix)  # nothing follows in the piece
+            beyond = 0 if ends else max(taken.get(b, 0), formed.get(b, 0))
+            formed[a + b] = max(formed.get(a + b, 0), beyond)
+            taken[a] = max(taken.get(a, 0), self.length(b) + beyond)
+        return max([1, *taken.values(), *formed.values()])
+
     def split(self, token: str) -> list[str]:
         body = token.removesuffix(self.suffix) if self.suffix else token
         ended = body != token
@@ -93,19 +112,19 @@ class Transducer:
 
     def lasting(self, a: str, b: str) -> bool:
         if (known := self._lasting.get((a, b))) is None:
-            if len(self._lasting) > 4 * MEMORY:
+            if len(self._lasting) > PAIRS:
                 self._lasting.clear()
             known = self._lasting[a, b] = self.merged(self.split(a) + self.split(b)) == [a, b]
         return known
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one piece, each as soon as it is stable. The last symbol comes with the suffix, the others without."""
-        whole, tails, memo, reach = self.whole, self.tails, self._lasting, self.lookahead
+        whole, tails, memo, longest = self.whole, self.tails, self._lasting, self.longest
         last = [""]  # of each prefix from the last stable position on, its last token; the first entry's is emitted
         size = [0]
-        window = ""
+        window, most = "", self.lookahead + 4 * longest
         for symbol in symbols:
-            window, end = (window + symbol[0])[-reach:], symbol[1:]
+            window, end = (window + symbol[0])[-longest:], symbol[1:]
             for k in range(1, min(len(last), len(window)) + 1):
                 token = window[-k:] + end
                 if token in whole:
@@ -118,14 +137,12 @@ class Transducer:
                     raise ValueError(f"no token ends at {token!r}")
             last.append(token)
             size.append(k)
-            if len(last) > 8 * reach:
-                live = {*range(len(last) - reach, len(last))}
-                while len(live) > 1:
-                    live.remove(top := max(live))
-                    live.add(top - size[top])
-                if meet := live.pop():
-                    yield from self._chain(last, size, meet)
-                    del last[:meet], size[:meet]
+            if len(last) > most:
+                stable = len(last) - 1
+                while stable > len(last) - 1 - self.lookahead:
+                    stable -= size[stable]
+                yield from self._chain(last, size, stable)
+                del last[:stable], size[:stable]
         yield from self._chain(last, size, len(last) - 1)
 
     @staticmethod
@@ -137,10 +154,21 @@ class Transducer:
         return out[::-1]
 
     def piece(self, text: str) -> Iterator[int]:
-        data = text.encode("utf-8")
-        symbols = [self.symbols[b] for b in data]
-        symbols[-1] += self.suffix
-        return map(self.ids.__getitem__, self.stream(symbols))
+        """Ids of a piece; a long one's symbols are made as they are read."""
+        if len(text) <= 64:
+            symbols = list(map(self.symbols.__getitem__, text.encode("utf-8")))
+            symbols[-1] += self.suffix
+            return map(self.ids.__getitem__, self.stream(symbols))
+        byte = (b for c in text for b in c.encode("utf-8"))
+        symbols = map(self.symbols.__getitem__, byte)
+        return map(self.ids.__getitem__, self.stream(self._ended(symbols) if self.suffix else symbols))
+
+    def _ended(self, symbols: Iterator[str]) -> Iterator[str]:
+        held = next(symbols)
+        for s in symbols:
+            yield held
+            held = s
+        yield held + self.suffix
 
     def normal(self, text: str) -> str:
         if self.nfc and not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -151,50 +179,67 @@ class Transducer:
 
 
 class Encoder:
-    """A transducer and a bounded memory of chunks (between blanks) and pieces that recur."""
+    """A transducer and a bounded memory of chunks (what is between blanks) that recur."""
 
     def __init__(self, path: str):
         self.of = Transducer(path)
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        #: Where a run of letters is always a piece, words and words with one mark behind need no pattern.
+        #: Where a run of letters is always a piece, words and words with marks behind need no pattern.
         self._words = r"|[\p{L}]+|" in self.of.pattern.pattern
+        self.forget()
+
+    def forget(self) -> None:
+        self.memory: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
+        """A piece's ids; pieces are remembered as the chunks they could be."""
+        ids = self.memory.get(piece)
         if ids is None:
-            ids = np.fromiter(self.of.piece(piece), "<u4").tobytes()
+            ids = self.before.get(piece)
+            if ids is None:
+                ids = np.fromiter(self.of.piece(piece), "<u4").tobytes()
             if len(piece) <= 64:
-                if len(self._pieces) >= MEMORY:
-                    self._pieces.clear()
-                self._pieces[piece] = ids
+                self.memory[piece] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
         text = self.of.normal(text)
         if self._words and text.isalpha():
             return self._piece(text)
-        if self._words and text[-1:] in {".", ","} and text[:-1].isalpha():
-            return self._piece(text[:-1]) + self._piece(text[-1])
         return b"".join(map(self._piece, self.of.pattern.findall(text)))
 
     def _chunk(self, chunk: str) -> bytes:
         if self.of.literals and self.of.literals.search(chunk):
             parts = enumerate(self.of.literals.split(chunk))
-            ids = b"".join(self.of.special[x].to_bytes(4, "little") if i % 2 else self._plain(x) for i, x in parts)
-        else:
-            ids = self._plain(chunk)
-        if len(chunk) <= 64:
-            if len(self._chunks) >= MEMORY:
-                self._chunks.clear()
-            self._chunks[chunk] = ids
-        return ids
+            return b"".join(self.of.special[x].to_bytes(4, "little") if i % 2 else self._plain(x) for i, x in parts)
+        return self._plain(chunk)
+
+    def stretches(self, text: str | None, size: int = 1 << 16) -> Iterator[bytes]:
+        """Ids as little-endian 32-bit integers, about `size` characters at a time. No piece crosses a blank."""
+        text, at = text or "", 0
+        while at < len(text):
+            end = len(text)
+            if end - at > size and (blank := SPACE.search(text, at + size)):
+                end = blank.end()
+            part = text[at:end] if end - at < len(text) else text
+            chunks = [c for c in SPACE.split(part) if c] if SEPARATORS.search(part) else part.split()
+            if len(self.memory) > MEMORY:
+                self.memory, self.before = {}, self.memory
+            memory = self.memory
+            own = {}
+            for c in [c for c in set(chunks) if c not in memory]:
+                ids = self.before.get(c)
+                if ids is None:
+                    ids = self._chunk(c)
+                (memory if len(c) <= 64 else own)[c] = ids
+            if own:
+                yield b"".join([own[c] if c in own else memory[c] for c in chunks])
+            else:
+                yield b"".join(map(memory.__getitem__, chunks))
+            at = end
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers. No piece crosses the blanks that are split at."""
-        get, own, text = self._chunks.get, self._chunk, text or ""
-        chunks = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        return b"".join([own(c) if (ids := get(c)) is None else ids for c in chunks if c])
+        return b"".join(self.stretches(text))
 
 
 class Decoder:
@@ -223,33 +268,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_rows(docs: DataFrame, path: str, keep_ids: bool = True, stretch: int = 8192, rows: int = 256) -> DataFrame:
+def encode_rows(docs: DataFrame, path: str, keep_ids: bool = True, rows: int = 256) -> DataFrame:
     """doc_id, ids (binary, if kept), n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle. `rows` at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(enc: Encoder, text: str) -> tuple:
+        dec, own, decoded, held, n = Decoder(enc.of), hashlib.sha256(), hashlib.sha256(), [], 0
+        for ids in enc.stretches(text):
+            own.update(ids)
+            decoded.update(dec.text(np.frombuffer(ids, "<u4").tolist()).encode("utf-8"))
+            n += len(ids) // 4
+            if keep_ids:
+                held.append(ids)
+        decoded.update(dec.end().encode("utf-8"))
+        return *([b"".join(held)] if keep_ids else []), n, own.hexdigest(), decoded.hexdigest()
+
+    def run(texts: list[str]) -> list[list]:
         enc = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                held, n, own, decoded = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = enc.encode(text)
-                    dec, digest, numbers = Decoder(enc.of), hashlib.sha256(), np.frombuffer(ids, "<u4")
-                    for i in range(0, len(numbers), stretch):
-                        digest.update(dec.text(numbers[i : i + stretch].tolist()).encode("utf-8"))
-                    digest.update(dec.end().encode("utf-8"))
-                    n.append(len(numbers))
-                    own.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(digest.hexdigest())
-                    if keep_ids:
-                        held.append(ids)
-                first = [part.column(0), pa.array(held, pa.binary())] if keep_ids else [part.column(0)]
-                arrays = [*first, pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    fields = ["doc_id long", *["ids binary"] * keep_ids, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    names = [f.split()[0] for f in fields]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), ", ".join(fields))
+        return list(zip(*(one(enc, t) for t in texts)))
+
+    fields = ["ids binary"] * keep_ids + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, ", ".join(fields), at_once=rows)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

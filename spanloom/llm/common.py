@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Words are the runs between ASCII white space; Java's and Python's regex read this alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,29 +19,50 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all run here."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
 
+_OWN: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application's that goes when its driver ends."""
+    own = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        fs, path = _hadoop(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            fs, p = _hadoop(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +103,45 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
                 trim(0)
 
     return task
+
+
+def map_texts(rows: DataFrame, run: Callable[[list[str]], list[list]], fields: str, at_once: int = 512) -> DataFrame:
+    """rows' columns but the last, a text, as they are, and the columns `fields` that run makes of the texts (null: empty).
+
+    No shuffle. Rows go to run `at_once` at a time; the other columns never leave Arrow, so no value is changed.
+    """
+    import pyarrow as pa
+
+    made = StructType.fromDDL(fields)
+    kinds = [to_arrow_type(f.dataType) for f in made.fields]
+    names = [*rows.columns[:-1], *made.names]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, at_once):
+                part = b.slice(at, at_once)
+                got = run([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, got, kinds)], names)
+
+    return rows.mapInArrow(released(task), StructType(rows.schema.fields[:-1] + made.fields))
+
+
+#: A key is hot if it holds more than one in HOT of the weight, so there are fewer than HOT hot keys, however large
+#: the table; rows of a hot key are dealt over SALTS tasks.
+HOT, SALTS = 1000, 64
+
+
+def hot_keys(weights: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Fewer than HOT keys: those with more than one in HOT of the weight. weights: a row per key, materialized."""
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    return weights.where(F.col(weight) * HOT > total).select(*keys)
+
+
+def salted_join(rows: DataFrame, each: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
+    """rows join each (a row per key) on keys. Rows of the hot keys are dealt over tasks by the hash of the columns
+    `by`, and each's row is copied to all."""
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = rows.join(mark, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.lit(17), *by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = each.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")

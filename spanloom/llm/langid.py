@@ -1,174 +1,207 @@
 """Language identification by cross-parsing entropy.
 
-For each language, a bounded sample of labelled text becomes a suffix automaton. A text is parsed against each
-automaton into longest matches (greedy phrases, each a substring of that language's sample); phrases times
-log2(length of the sample) over the text's characters is the cross entropy, and the lowest wins. Phrases end at word
-boundaries, so a word's count depends on the word alone: each distinct word is parsed once, many words in step.
-
-Training: rows with a language whose fold is not held out; of each language at most `rows` rows, chosen by hash over
-all rows, and `chars` characters of their words (fewer with many languages: the automata together keep within
-`total`). Only the automata are broadcast; their size is bounded by these parameters.
-
-Defined results: null texts and texts without a letter are `und` with score 0, as is every text if nothing could be
-learned; ties go to the first language by name; words above 60 letters are parsed in stretches of 60; repeated rows
-give repeated rows; other columns are not read.
+For each language, a bounded sample of labelled text becomes a suffix automaton. A text, its letters in lower case and
+one blank for whatever is between, is parsed against each automaton from beginning to end: the automaton's state
+follows the longest match, and where it ends a new phrase begins, across blanks as well. Phrases times log2(length of
+the sample) over the text's characters is the cross entropy, and the language with the lowest wins. The states of many
+texts and all languages move on together, a character at a time; a long text is parsed as stretches of `STRETCH`
+characters, each of which begins a phrase.
+
+Training: rows with a language whose fold is not held out. Of each language at most `rows` rows are taken, the first
+by hash over all its rows, whole texts, as long as they fit into `chars` characters together; if none does, the
+shortest one. Only these samples are broadcast; they and the automata grow with the number of languages alone.
+
+Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0, as is every text
+if nothing could be learned; with one language its score is 1; ties go to the first language by name; texts and words
+of any length are parsed whole; repeated rows give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import lru_cache
+from math import log2
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fold
+from spanloom.llm.common import fold, map_texts
 
 FOLDS, HELD_OUT = 4, 2
-LETTERS = re.compile(r"[^\W\d_]+")
-STRETCH = 60
-MEMORY = 300_000  # distinct words that a worker remembers
+STRETCH = 4096
+#: Every letter is one of Unicode's category L, as str.isalpha() has it.
+BLANK, STRANGE = 0, 1
 
 
-def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings, -1 where there is none; state 0 is the start."""
-    n = 2 * len(text) + 2
-    move = np.full((n, symbols), -1, np.int32)
-    link, length = [-1] * n, [0] * n
-    last, size = 0, 1
+@lru_cache(maxsize=1)
+def alphabet() -> np.ndarray:
+    """For each code point, STRANGE if it is a letter, else BLANK."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
+
+
+def coded(text: str, codes: np.ndarray) -> np.ndarray:
+    """The codes of the text's letters in lower case, a BLANK before, between and behind words; empty without a letter."""
+    c = codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    if not c.any():
+        return c[:0]
+    c = np.concatenate([[BLANK], c, [BLANK]])
+    return c[(c != BLANK) | np.concatenate([[True], c[:-1] != BLANK])]
+
+
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Moves of the automaton of all substrings: per state, the next one by symbol. State 0 is the start."""
+    move: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in text:
-        new = size
-        size += 1
-        length[new] = length[last] + 1
+        new = len(move)
+        move.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and move[p, c] < 0:
-            move[p, c] = new
+        while p >= 0 and c not in move[p]:
+            move[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        elif length[p] + 1 == length[q := int(move[p, c])]:
-            link[new] = q
-        else:
-            twin = size
-            size += 1
-            length[twin], link[twin] = length[p] + 1, link[q]
-            move[twin] = move[q]
-            while p >= 0 and move[p, c] == q:
-                move[p, c] = twin
-                p = link[p]
-            link[q] = link[new] = twin
+        if p >= 0:
+            q = move[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                twin = len(move)
+                move.append(dict(move[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and move[p].get(c) == q:
+                    move[p][c] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
         last = new
-    return move[:size].copy()
+    return move
+
+
+class Moves:
+    """The moves of several automata in one open-addressed table. State 0 has none: a text begins there, and a
+    character that no sample has leads there."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], symbols: int):
+        self.symbols = symbols
+        self.first = np.zeros((len(automata), symbols), np.int32)  # where a phrase begins, by language and symbol
+        keys, to, at = [], [], 1
+        for n, move in enumerate(automata):
+            for state, own in enumerate(move):
+                keys += [(at + state) * symbols + c for c in own]
+                to += [at + q for q in own.values()]
+            for c, q in move[0].items():
+                self.first[n, c] = at + q
+            at += len(move)
+        self.bits = max(4, 2 + len(keys).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        key, value = np.array(keys, np.int64), np.array(to, np.int32)
+        slot = self._slot(key)
+        while len(key):  # of those that want one free place, the first gets it
+            free = np.flatnonzero(self.keys[slot] < 0)
+            own = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[own]], self.to[slot[own]] = key[own], value[own]
+            left = np.ones(len(key), bool)
+            left[own] = False
+            key, value, slot = key[left], value[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def phrases(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """[language, stretch]: how many longest matches, one after the other, make up each stretch of the coded text."""
+        order = np.argsort(-sizes, kind="stable")
+        at, falling = starts[order], -sizes[order]
+        langs = len(self.first)
+        n = np.zeros(len(sizes) * langs, np.int32)
+        state = np.zeros(len(sizes) * langs, np.int32)
+        first, place = self.first.T.ravel(), np.arange(langs)
+        for t in range(int(sizes.max(initial=0))):
+            on = int(np.searchsorted(falling, -t))  # the stretches that are longer than t
+            c = text.take(at[:on] + t)
+            key = np.multiply(state[: on * langs], self.symbols, dtype=np.int64)
+            key += c.repeat(langs)
+            slot = self._slot(key)
+            held = self.keys.take(slot)
+            other = np.flatnonzero(held != key)
+            miss = [other[held.take(other) < 0]]
+            other = other[held.take(other) >= 0]
+            while len(other):
+                now = slot[other] = (slot[other] + 1) & (len(self.keys) - 1)
+                now = self.keys.take(now)
+                miss.append(other[now < 0])
+                other = other[(now >= 0) & (now != key.take(other))]
+            missed = np.concatenate(miss)
+            self.to.take(slot, out=state[: on * langs])
+            n[missed] += 1
+            state[missed] = first.take(c.take(missed // langs) * langs + place.take(missed % langs))
+        out = np.empty((len(sizes), langs), np.int32)
+        out[order] = n.reshape(len(sizes), langs)
+        return out.T
 
 
 class Model:
     def __init__(self, samples: dict[str, str]):
-        """samples: per language, its words with blanks between them."""
+        """samples: per language, a text."""
         self.langs = sorted(samples)
-        letters = sorted(set("".join(samples.values())) - {" "})
-        self.code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}  # 1: any other letter
-        self.moves = [suffix_automaton([self.code[c] for c in f" {samples[k]} "], len(letters) + 2) for k in self.langs]
-        self.bits = np.array([np.log2(len(samples[k]) + 2) for k in self.langs])
-        self.memory: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.langs)), np.float64)
-
-    def __getstate__(self):
-        return {"langs": self.langs, "code": self.code, "moves": self.moves, "bits": self.bits}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state | {"memory": {}, "counts": np.zeros((1024, len(state["langs"])), np.float64)}
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """[word, language] counts of longest matches; words of at most STRETCH letters, in step."""
-        longest = max(map(len, words)) + 2
-        known = self.code
-        text = np.ones((longest, len(words)), np.int32)
-        for i, w in enumerate(words):
-            text[: len(w) + 2, i] = [known.get(c, 1) for c in f" {w} "]
-        lengths = np.array([len(w) + 2 for w in words])
-        order = np.argsort(-lengths, kind="stable")
-        text, lengths = text[:, order], lengths[order]
-        out = np.zeros((len(words), len(self.langs)))
-        for j, move in enumerate(self.moves):
-            state, n = np.zeros(len(words), np.int32), np.zeros(len(words))
-            for t in range(longest):
-                on = int(np.searchsorted(-lengths, -t, "left"))  # words longer than t
-                c = text[t, :on]
-                to = move[state[:on], c]
-                new = (state[:on] == 0) | (to < 0)
-                n[:on] += new
-                state[:on] = np.where(new, np.maximum(move[0, c], 0), to)
-            out[order, j] = n
-        return out
-
-    def _row(self, words: list[str]) -> None:
-        if len(self.memory) + len(words) > MEMORY:
-            self.memory.clear()
-        at = len(self.memory)
-        if len(self.counts) < at + len(words):
-            self.counts = np.concatenate([self.counts, np.zeros((at + 2 * len(words), len(self.langs)))])
-        short = [w for w in words if len(w) <= STRETCH]
-        if short:
-            self.counts[at : at + len(short)] = self.phrases(short)
-        self.memory.update(zip(short, range(at, at + len(short))))
-        for w in words:
-            if len(w) > STRETCH:
-                at = len(self.memory)
-                self.counts[at] = self.phrases([w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]).sum(0)
-                self.memory[w] = at
+        self.codes = alphabet().copy()
+        known = sorted({ord(c) for s in samples.values() for c in s.lower() if c.isalpha()})
+        self.codes[known] = np.arange(2, len(known) + 2)
+        texts = [coded(samples[k], self.codes) for k in self.langs]
+        self.bits = np.array([log2(len(t) + 2) for t in texts])
+        self.moves = Moves([suffix_automaton(t.tolist()) for t in texts], len(known) + 2)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        split = [LETTERS.findall(t.lower()) for t in texts]
-        out = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            distinct = {w for words in part for w in words}
-            if new := [w for w in distinct if w not in self.memory]:
-                if len(self.memory) + len(new) > MEMORY:
-                    self.memory.clear()
-                    new = list(distinct)
-                self._row(new)
-            for words in part:
-                if not words or not self.langs:
-                    out.append(("und", 0.0))
-                    continue
-                total = self.counts[[self.memory[w] for w in words]].sum(0) * self.bits
-                best = int(np.argmin(total))
-                rest = np.delete(total, best)
-                out.append((self.langs[best], float(rest.min() / (rest.min() + total[best])) if len(rest) else 1.0))
-        return out
-
-
-def learn(docs: DataFrame, rows: int = 150, chars: int = 30_000, total: int = 300_000) -> Model:
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+        parts = [coded(t, self.codes) for t in texts]
+        sizes = np.array(list(map(len, parts)), np.int64)
+        if not self.langs or not sizes.any():
+            return [("und", 0.0)] * len(texts)
+        many = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), many)
+        within = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+        begins = np.repeat(np.cumsum(sizes) - sizes, many) + within
+        n = self.moves.phrases(np.concatenate(parts), begins, np.minimum(STRETCH, sizes[owner] - within))
+        cost = np.stack([np.bincount(owner, row, len(texts)) * bits for row, bits in zip(n, self.bits)], 1)
+        best = cost.argmin(1)
+        least = cost.min(1)
+        cost[np.arange(len(texts)), best] = np.inf
+        rest = cost.min(1)
+        return [(self.langs[b], 1.0 if r == np.inf else r / (r + v)) if size else ("und", 0.0) for b, r, v, size in zip(best.tolist(), rest.tolist(), least.tolist(), sizes)]
+
+
+@lru_cache(maxsize=1)
+def model(samples: tuple[tuple[str, str], ...]) -> Model:
+    """A worker builds the automata once."""
+    return Model(dict(samples))
+
+
+def learn(docs: DataFrame, rows: int = 150, chars: int = 20_000) -> dict[str, str]:
+    """Per language, its sample."""
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    train = train.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 1)
     share = train.groupBy("lang").count().select("lang", (F.lit(3.0 * rows) / F.col("count")).alias("share"))
-    picked = train.join(F.broadcast(share), "lang").where(h <= F.least(F.col("share"), F.lit(1.0)) * F.lit(float(2**63)))
-    first = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("r") <= rows)
-    texts: dict[str, list[str]] = {}
+    picked = train.join(share, "lang").where(h <= F.least(F.col("share"), F.lit(1.0)) * F.lit(float(2**63)))
+    size = F.length("text")
+    order = Window.partitionBy("lang").orderBy(size > chars, F.when(size > chars, size), h, "doc_id", "text")
+    first = picked.withColumn("r", F.row_number().over(order)).where((F.col("r") <= rows) & ((size <= chars) | (F.col("r") == 1)))
+    texts: dict[str, dict[str, None]] = {}
     for r in first.select("lang", "text", "r").orderBy("lang", "r").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    chars = min(chars, total // max(1, len(texts)))
-    samples = {}
-    for lang, own in texts.items():
-        words = [w for t in dict.fromkeys(own) for w in LETTERS.findall(t.lower())[: max(20, 4 * chars // (6 * len(own)))]]
-        samples[lang] = " ".join(words)[:chars]
-    return Model({k: v for k, v in samples.items() if v})
+        own = texts.setdefault(r["lang"], {})
+        if not own or sum(map(len, own)) + len(r["text"]) <= chars:
+            own[r["text"]] = None
+    return {lang: "\n".join(own) for lang, own in texts.items()}
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = shared.value.predict([t if isinstance(t, str) else "" for t in b["text"]])
-            yield pd.concat([b[["doc_id", "held_out"]].reset_index(drop=True), pd.DataFrame(got, columns=["lang_pred", "score"])], axis=1)
+    def run(texts: list[str]) -> list[list]:
+        return list(zip(*model(shared.value).predict(texts)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, run, "lang_pred string, score double", at_once=1024)
 
 
 def query(docs: DataFrame) -> DataFrame:

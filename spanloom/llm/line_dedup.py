@@ -2,8 +2,9 @@
 
 Lines are what a newline parts. Every three consecutive lines are hashed; a window seen before, in reading order
 (doc_id, position), is a repeat, and the lines that repeats cover are removed, windows that overlap merging into one
-stretch. Counting aggregates on the map side, so a passage of a third of all documents is no hot key, and only
-windows that do repeat meet the documents again.
+stretch. Counting aggregates on the map side. Only windows that do repeat meet the documents again; the rows of those
+that repeat most (fewer than a thousand, so they can be broadcast) are salted, so a passage of a third of all
+documents is no hot key there either.
 
 Hashes are two of 64 bits. Defined results: a null or empty text, and a text of fewer than three lines, has no window
 and stays whole; the first occurrence stays; within one document later occurrences go too. Rows that share doc_id
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import hot_keys, materialize, salted_join
+
 SPAN = 3
 
 
@@ -30,8 +33,10 @@ def windows(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, th, lines (sorted distinct positions to remove), of documents that lose some."""
     w = windows(docs)
-    first = w.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = w.join(first, ["w1", "w2"]).where(F.struct("doc_id", "th", "pos") != F.col("first")).select("doc_id", "th", "pos")
+    seen = w.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    seen = materialize(seen, "lines-repeated")
+    met = salted_join(w, seen.drop("n"), ["w1", "w2"], hot_keys(seen, ["w1", "w2"], "n"), ["doc_id", "th", "pos"])
+    later = met.where(F.struct("doc_id", "th", "pos") != F.col("first")).select("doc_id", "th", "pos")
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts")).select("doc_id", "th", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (SPAN - 1))))).alias("lines"))
 
 

@@ -3,13 +3,15 @@
 Targets: a source's weight is its turn in 3, 1, 2 by code point (null last); all targets together are `share` of all
 words, none is above `most` times its source, and the excess goes to the others by weight (water filling).
 
-Blocks: a source's documents are dealt by hash into blocks of about equal size. A source's quota is drawn in whole
-passes plus a permuted choice of its blocks; the block where the quota ends is cut at the document, and that document
-at the word, by the same hashes at finer digits: so no step gathers more than a small part of a source.
+Blocks: a source's documents are dealt by hash into blocks of about equal size. Its quota in blocks is exact: whole
+passes over all of them and, of the last pass, so many permuted blocks as its target asks for; the block where the
+target ends is cut at the document, and that document at the word, by the same hashes at finer digits: so no step
+gathers more than a small part of a source.
 
-Tree: the drawn blocks of all sources are split over 2**levels output shards. At each node every block draws a number
-and the lower half goes left: of n blocks with c_s of source s, the left child gets a multivariate-hypergeometric
-count of each source. A node's blocks are then dealt and each shard is shuffled by itself.
+Tree: the block quotas of all sources are split over 2**levels output shards. At each node, of n blocks with c_s of
+source s, the left child gets a multivariate-hypergeometric count of each source: the blocks, not yet told apart, draw
+numbers and the lower half goes left. A shard then draws its quota of each source: disjoint stretches of the source's
+permuted blocks, shard after shard. What a shard has drawn is shuffled there by itself.
 
 Everything is SQL expressions over hashes of ids: reruns agree whatever the partitioning.
 
@@ -51,23 +53,48 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return full.select("key", "source_size", F.when(F.col("held").isNull() | (F.col("level") < F.col("held.level")), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("held.water"))).alias("target"))
 
 
+def _named(docs: DataFrame, seed: int) -> tuple:
+    """key (the source's name) and h (what all draws of a row hang on) of docs' rows."""
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    return key.alias("key"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h")
+
+
+def quotas(blocks: DataFrame, seed: int, levels: int) -> DataFrame:
+    """key, ends (array of struct(end, shard)): which of a source's blocks, by number, each shard gets. blocks: key, n."""
+    balls = blocks.select("key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("ball")).withColumn("node", F.lit(0))
+    for level in range(levels):
+        w = Window.partitionBy("node")
+        drawn = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + 2 + level), "node", "key", "ball"), "key", "ball"))
+        right = (drawn > F.floor(F.count("*").over(w) / 2)).cast("int")
+        balls = balls.withColumn("node", 2 * F.col("node") + right)
+    share = balls.groupBy("key", "node").count()
+    upto = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    share = share.withColumn("end", F.sum("count").over(upto))
+    return share.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("end", F.col("node").alias("shard")))).alias("ends"))
+
+
 def plan(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, levels: int = 3) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken, passes (array of struct(pass, words, shard, place))."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("th"), n_words(F.col("text")).alias("size"))
-    base = base.withColumn("key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
-    base = materialize(base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "th")).drop("th"), "mix-rows")
-    digits = {"d0": F.shiftrightunsigned("h", 64 - BLOCK).cast("int"), "d1": F.shiftrightunsigned("h", 64 - BLOCK - FINER).bitwiseAND((1 << FINER) - 1).cast("int")}
+    """A row per document: doc_id, source, size, source_size, target, taken, passes (array of struct(pass, words, shard,
+    place)), key, h."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *_named(docs, seed), n_words(F.col("text")).alias("size"))
+    base = materialize(base, "mix-rows")
+    digits = {
+        "d0": F.shiftrightunsigned("h", 64 - BLOCK).cast("int"),
+        "d1": F.shiftrightunsigned("h", 64 - BLOCK - FINER).bitwiseAND((1 << FINER) - 1).cast("int"),
+    }
     rows = base.withColumns(digits)
     # sums by the first digit, for sources and their blocks in one pass
     blocks = materialize(rows.groupBy("key", "d0").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-blocks")
-    goal = targets(blocks.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), share, most)
-    goal = materialize(goal.withColumn("quota", F.floor("target")).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0)))
-                       .withColumn("part", F.col("quota") - F.col("whole") * F.col("source_size")), "mix-goal")
+    sizes = blocks.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    goal = targets(sizes, share, most).withColumn("quota", F.floor("target"))
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(F.lit(0)))
+    goal = materialize(goal.withColumn("part", F.col("quota") - F.col("whole") * F.col("source_size")), "mix-goal")
 
     # the permuted blocks of the last, partial pass: whole ones, and the one where the quota ends
     upto = Window.partitionBy("key").orderBy("turn", "d0").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = blocks.withColumn("turn", F.xxhash64(F.lit(seed + 1), "key", "d0")).withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    dealt = dealt.join(goal, "key").select("key", "d0", "words", "whole", (F.col("part") - F.col("before")).alias("room"))
+    dealt = blocks.withColumn("turn", F.xxhash64(F.lit(seed + 1), "key", "d0"))
+    dealt = dealt.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(goal, "key")
+    dealt = dealt.select("key", "d0", "words", "whole", (F.col("part") - F.col("before")).alias("room"))
     dealt = dealt.withColumn("state", F.when(F.col("room") >= F.col("words"), "all").when(F.col("room") <= 0, "none").otherwise("cut"))
     cut = dealt.where("state = 'cut'").select("key", "d0", "room")  # one block of each source at most
     # the same within it, by the second digit, then by documents
@@ -75,49 +102,57 @@ def plan(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0,
     upto1 = Window.partitionBy("key").orderBy("d1").rowsBetween(Window.unboundedPreceding, -1)
     finer = finer.withColumn("room", F.col("room") - F.coalesce(F.sum("words").over(upto1), F.lit(0)))
     last = rows.join(finer.where("room > 0").select("key", "d0", "d1", "room", "words"), ["key", "d0", "d1"])
-    full_bins = last.where("room >= words").select("doc_id", "h", F.col("size").alias("cut_words"))
-    upto2 = Window.partitionBy("key").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    some = last.where("room < words").withColumn("room", F.col("room") - F.coalesce(F.sum("size").over(upto2), F.lit(0))).where("room > 0").select("doc_id", "h", F.least("size", "room").alias("cut_words"))
-    partial = full_bins.unionByName(some).groupBy("doc_id", "h").agg(F.sum("cut_words").alias("cut_words"), F.count("*").alias("copies"))
-
-    # every block of every pass goes down the tree
-    slots = dealt.select("key", "d0", "state", F.explode(F.sequence(F.lit(1), F.col("whole") + 1)).alias("pass"), "whole").where("pass <= whole or state != 'none'")
-    slots = slots.withColumn("node", F.lit(0))
-    for level in range(levels):
-        draw = F.xxhash64(F.lit(seed + 2 + level), "node", "key", "d0", "pass")
-        w = Window.partitionBy("node")
-        slots = slots.withColumn("rank", F.row_number().over(w.orderBy(draw, "key", "d0", "pass"))).withColumn("n", F.count("*").over(w))
-        slots = slots.withColumn("node", 2 * F.col("node") + F.when(F.col("rank") <= F.col("n") / 2, 0).otherwise(1)).drop("rank", "n")
-    tree = slots.groupBy("key", "d0").agg(F.collect_list(F.struct("pass", F.col("node").cast("int").alias("shard"), (F.col("pass") > F.col("whole")).alias("last"))).alias("draws"), F.first("state").alias("state"))
-    tree = materialize(tree, "mix-tree")
-
-    out = rows.join(goal.select("key", "source_size", "target"), "key").join(tree, ["key", "d0"], "left").join(partial, ["doc_id", "h"], "left")
-    words = lambda d: F.when(~d["last"] | (F.col("state") == "all"), F.col("size")).otherwise(F.floor(F.coalesce(F.col("cut_words") / F.col("copies"), F.lit(0))))
-    passes = F.filter(F.transform(F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int,last:boolean>>")), lambda d: F.struct(d["pass"].alias("pass"), words(d).cast("long").alias("words"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 99), "h", d["pass"]).alias("place"))), lambda p: p["words"] > 0)
-    out = out.withColumn("passes", passes)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"), "passes")
+    full_bins = last.where("room >= words").select("key", "h", F.col("size").alias("cut_words"))
+    upto2 = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    some = last.where("room < words").withColumn("room", F.col("room") - F.coalesce(F.sum("size").over(upto2), F.lit(0))).where("room > 0")
+    some = some.select("key", "h", F.least("size", "room").alias("cut_words"))
+    # repeated rows share evenly what was drawn of them
+    partial = full_bins.unionByName(some).groupBy("key", "h").agg(F.sum("cut_words").alias("cut_words"))
+
+    # each source's blocks of all passes, in permuted order, meet the quotas of the tree's leaves
+    slots = dealt.select("key", "d0", "state", F.explode(F.sequence(F.lit(1), F.col("whole") + 1)).alias("pass"), "whole")
+    slots = slots.where("pass <= whole or state != 'none'")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("pass", F.xxhash64(F.lit(seed + 1), "key", "d0", "pass"), "d0"))
+    slots = slots.withColumn("number", turn)
+    split = quotas(slots.groupBy("key").agg(F.count("*").cast("int").alias("n")), seed, levels)
+    shard = F.filter("ends", lambda e: e["end"] >= F.col("number"))[0]["shard"]
+    draw = F.struct("pass", shard.alias("shard"), (F.col("pass") > F.col("whole")).alias("last"))
+    drawn = slots.join(split, "key").groupBy("key", "d0").agg(F.array_sort(F.collect_list(draw)).alias("draws"), F.first("state").alias("state"))
+    drawn = materialize(drawn, "mix-drawn")
+
+    copies = Window.partitionBy("key", "h")
+    partial = rows.join(partial, ["key", "h"]).select("key", "h", "cut_words", F.count("*").over(copies).alias("copies")).distinct()
+    out = rows.join(goal.select("key", "source_size", "target"), "key").join(drawn, ["key", "d0"], "left").join(partial, ["key", "h"], "left")
+    in_part = F.floor(F.coalesce(F.col("cut_words") / F.col("copies"), F.lit(0)))
+    words = lambda d: F.when(~d["last"] | (F.col("state") == "all"), F.col("size")).otherwise(in_part)
+    taken = lambda d: F.struct(d["pass"].alias("pass"), words(d).cast("long").alias("words"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 99), "h", d["pass"]).alias("place"))
+    draws = F.coalesce("draws", F.array().cast("array<struct<pass:bigint,shard:int,last:boolean>>"))
+    out = out.withColumn("passes", F.filter(F.transform(draws, taken), lambda p: p["words"] > 0))
+    total = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), "passes", "key", "h")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    p = plan(docs)
-    return p.select("doc_id", "size", "source_size", "target", "taken", F.transform("passes", lambda x: x["shard"]).alias("shards"), F.transform("passes", lambda x: x["place"]).alias("places"))
+    of = lambda name: F.transform("passes", lambda x: x[name]).alias(name + "s")
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", of("shard"), of("place"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """docs' rows as the mix holds them: a row for each pass that takes some of its words, cut where the quota ends.
 
-    Partitions follow each other by shard and, within it, by place; a shard is as many partitions as its size asks for.
+    All columns of docs, whatever their names. Partitions follow each other by shard and, within it, by place; a shard
+    is as many partitions as its size asks for.
     """
-    names = docs.columns
-    drawn = plan(docs).where("size(passes) > 0").select(F.col("doc_id").alias("_id"), F.xxhash64("source").alias("_src"), "passes").dropDuplicates(["_id", "_src"])
-    rows = docs.join(drawn, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("source") == F.col("_src")))
-    rows = rows.withColumn("_p", F.explode("passes")).withColumn("_n", n_words(F.col("text")))
-    pieces = F.split("text", WORD_STARTS, -1)  # each with the white space behind it; white space in front is one of its own
-    ahead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_p.words").cast("int") + ahead), "")
-    text = F.when(F.col("_p.words") < F.col("_n"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_p.words") < F.col("_n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rows = rows.select(*names, F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
-    return rows.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place").select(*names)
+    drawn = plan(docs, seed).where("size(passes) > 0").select("key", "h", "passes").dropDuplicates(["key", "h"])
+    rows = docs.select(F.struct("*").alias("row"), *_named(docs, seed)).join(drawn, ["key", "h"])
+    rows = rows.select("row", F.explode("passes").alias("p"), n_words(F.col("row.text")).alias("n"))
+    pieces = F.split("row.text", WORD_STARTS, -1)  # each with the white space behind it; white space in front is one of its own
+    ahead = F.when(F.col("row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("p.words").cast("int") + ahead), "")
+    less = F.col("p.words") < F.col("n")
+    rows = rows.withColumn("row", F.col("row").withField("text", F.when(less, cut).otherwise(F.col("row.text"))))
+    if "n_chars" in docs.columns:
+        own = F.when(less, F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        rows = rows.withColumn("row", F.col("row").withField("n_chars", own))
+    rows = rows.select("row", "p.shard", "p.place")
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select("row.*")

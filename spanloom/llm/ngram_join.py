@@ -35,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, partitions, released
+from spanloom.llm.common import discard, map_texts, materialize, partitions, released
 from spanloom.llm.components import components, merged
 
 N = 5
 CAP = 8  # members of a bucket whose pairs are all candidates
 SLACK = 1.25
-DEBUG = False
 SMALL = 16  # below this size, signatures are of two cells
 WORDS = [f"w{i}" for i in range(16)]  # columns of a set's parity map, 64 bits each
 
@@ -135,16 +134,15 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, int]:
 def sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, k1, k2 (name of the set), e0, e1 (empty subsets in its bands)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingles(t)
-                e = [signatures(s, band)[1] for band in bands(len(s))]
-                rows.append((len(s), *set_key(s), *(e + [0, 0])[:2]))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "k1", "k2", "e0", "e1"])], axis=1)
+    def run(texts: list[str]) -> list[list]:
+        rows = []
+        for t in texts:
+            s = shingles(t)
+            e = [signatures(s, band)[1] for band in bands(len(s))]
+            rows.append((len(s), *set_key(s), *(e + [0, 0])[:2]))
+        return list(zip(*rows))
 
-    return docs.mapInPandas(released(run), "doc_id long, n long, k1 long, k2 long, e0 int, e1 int")
+    return map_texts(docs.select("doc_id", "text"), run, "n long, k1 long, k2 long, e0 int, e1 int")
 
 
 def signed(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -333,8 +331,6 @@ def among(docs: DataFrame, edges: DataFrame, least: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
-        if DEBUG:
-            print("round", leaders, rows.count(), rows_left.count(), pairs.count(), rows_left.agg(F.max("size"), F.countDistinct("id"), F.countDistinct("sig")).first())
         fresh = materialize(verified(pairs, docs), "ngram-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         groups = merged(groups, fresh)

@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import map_texts
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = 4
 
@@ -120,15 +120,14 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and the counts of the added kinds; no shuffle."""
     names = [f"n_{k}" for k in KINDS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                found = spans(t) if isinstance(t, str) else []
-                kinds = [k for _, k, _ in found]
-                base = listed([s for s in found if s[1] < BASE]) if found else ""
-                rows.append((*map(kinds.count, range(len(KINDS))), hashlib.sha256(base.encode()).hexdigest(), listed(found)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "base_sha256", "spans"])], axis=1)
-
-    columns = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"doc_id long, {columns}, base_sha256 string, spans string")
+    def run(texts: list[str]) -> list[list]:
+        rows = []
+        for t in texts:
+            found = spans(t)
+            kinds = [k for _, k, _ in found]
+            base = listed([s for s in found if s[1] < BASE]) if found else ""
+            rows.append((*map(kinds.count, range(len(KINDS))), hashlib.sha256(base.encode()).hexdigest(), listed(found)))
+        return list(zip(*rows))
+
+    fields = ", ".join([*(f"{n} long" for n in names), "base_sha256 string", "spans string"])
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, fields)

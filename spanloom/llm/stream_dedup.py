@@ -5,7 +5,8 @@ keyed aggregation whose state is in RocksDB and never expires: per digest the st
 doc_id), the locator of its content and the number of rows. What the state says is a hit is then checked byte by
 byte against the row that stays; should texts of one digest differ, each text gets a group of its own.
 
-The stream goes on where it stopped: state and progress are in the shared folder. Map-side partial aggregation
+Rows of a digest that is common meet their group in many tasks: hot digests (fewer than a thousand, so they can be
+broadcast) are salted. The stream goes on where it stopped: state and progress are in the shared folder. Map-side partial aggregation
 happens within each micro-batch, so a group of a third of all rows reaches the state as one row per task.
 
 Defined results: texts are equal when identical after lower-casing A-Z; a null text counts as empty and equals empty
@@ -17,10 +18,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, scratch
+from spanloom.llm.common import ascii_lower, hot_keys, materialize, salted_join, scratch
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -83,7 +84,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     if staged.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     consume(spark, path, state, out)
-    rows = staged.join(groups(spark, out), "digest")
+    last = materialize(groups(spark, out), "dedup-last")
+    hot = hot_keys(last.where("n > 1"), ["digest"], "n")
+    rows = salted_join(staged, last, ["digest"], hot, ["locator"])
 
     # Hits are checked byte by byte. The text is fetched for rows of groups of two and more alone.
     hits = rows.where("n > 1")
@@ -92,7 +95,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     stays = hits.where("doc_id <=> keep_id and locator = keep_at").select("digest", F.col("doc_id").alias("id"))
     texts = bodies.join(hits.select(F.col("digest").alias("key"), F.col("doc_id").alias("id")).distinct(), ["key", "id"], "left_semi")
     kept_text = texts.join(stays.withColumnRenamed("digest", "key"), ["key", "id"]).groupBy("key").agg(F.max("norm").alias("kept"))
-    other = texts.join(kept_text, "key").where(F.col("norm") != F.col("kept")).select("key", "id", "norm")
+    other = salted_join(texts, kept_text, ["key"], hot.toDF("key"), ["id"]).where(F.col("norm") != F.col("kept")).select("key", "id", "norm")
     odd = other.groupBy("key", "norm").agg(F.max("id").alias("other_id"), F.count("*").alias("other_n"))
     odd = other.join(odd, ["key", "norm"]).select(F.col("key").alias("digest"), F.col("id").alias("doc_id"), "other_id", "other_n").distinct()
     lost = odd.groupBy("digest").agg(F.sum(F.lit(1)).alias("lost"))
@@ -107,17 +110,17 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns."""
-    names = docs.columns
-    drop = result.groupBy("doc_id").agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1")
-    marked = docs.join(drop.withColumnRenamed("doc_id", "_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    plain = marked.where(F.col("any").isNull()).select(*names)
+    """The rows of docs that stay, with docs' columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    told = result.groupBy(F.col("doc_id").alias("of")).agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1")
+    marked = rows.join(told, F.col("id").eqNullSafe(F.col("of")), "left")
+    plain = marked.where("any is null").select("row")
     # ids that several rows share: one row of each text that stays
-    shared = marked.where(F.col("any") & (F.col("n") > 1)).withColumn("_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    kept = result.where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_sha"))
-    shared = shared.join(kept, (F.col("_id").eqNullSafe(F.col("_kid"))) & (shared["_sha"] == kept["_sha"]), "left_semi")
-    first = shared.withColumn("_r", F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("_id"))).where("_r = 1")
-    return plain.unionByName(first.select(*names))
+    shared = marked.where("any and n > 1").select("row", "id", F.sha2(ascii_lower(F.col("row.text")), 256).alias("sha"))
+    kept = result.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    shared = shared.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    one = shared.groupBy("id", "sha").agg(F.first("row").alias("row")).select("row")
+    return plain.unionByName(one).select("row.*")
 
 
 ORACLE_SQL = """

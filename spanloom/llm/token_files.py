@@ -1,15 +1,16 @@
 """Token ids as seekable binary files: independent zstandard frames, a trailing seek table, a checksum per frame.
 
 File format (integers little-endian):
-  frames   each a zstandard frame of up to `frame_docs` documents / `frame_ids` ids (a longer document has one of
-           its own): the documents' ids as u32, one after the other
-  table    one zstandard frame: per frame `offset u64, size u32, crc32-of-its-bytes u32, first_doc u32`, then per
-           document `doc_id i64, n_ids u32`
-  trailer  `table_offset u64, table_size u32, table_crc u32, n_frames u32, n_docs u32, magic "SLT1"`
-A reader takes the trailer, the table and then only the frames of the documents that it is asked for.
+  frames   one zstandard frame for each document: its ids as u32, one after the other
+  table    one zstandard frame: per document `offset u64, size u32, crc32-of-its-bytes u32, doc_id i64, n_ids u32,
+           no_id u8` (1 where the doc_id is null)
+  trailer  `table_offset u64, table_size u32, table_crc u32, n_docs u32, magic "SLT2"`
+A reader takes the trailer, the table and then only the frames of the documents that it is asked for. The table is
+in the order of doc_id, and `_files` has each file's least and largest doc_id, so a document is found without a scan.
 
-Documents go to one file per range of doc_id, in ascending order within the file and over the files. A task writes to
-a name of its own and renames, so a repeated or lost task leaves whole files only.
+Documents go to files by ranges of doc_id, in ascending order within a file and over the files; a file is closed
+when it holds `most_bytes`, which bounds the table that a writer keeps in memory. A task writes to a name of its own
+and renames, so a repeated or lost task leaves whole files only.
 
 Defined results: null and empty texts are the end id alone; rows with one doc_id stay separate rows, ordered by
 text; a null doc_id comes first; an empty table gives no rows; other columns are not read.
@@ -22,30 +23,32 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import partitions, scratch
+from spanloom.llm.common import partitions, released, scratch
 
-MAGIC = b"SLT1"
-TRAILER = struct.Struct("<QIIII4s")
-FRAME = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("first", "<u4")])
-DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4")])
-#: Entries of a worker's memory of encoded chunks; emptied when full.
-MEMORY = 400_000
-NO_ID = -(2**63)
+MAGIC = b"SLT2"
+TRAILER = struct.Struct("<QIII4s")
+DOC = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("doc_id", "<i8"), ("n", "<u4"), ("no_id", "u1")])
+#: Entries of each of the two generations of a worker's memory of encoded chunks.
+MEMORY = 120_000
+#: Characters of the texts whose new chunks are encoded together.
+TOGETHER = 2_000_000
 
 
 #: Case mappings of characters up to here are settled and don't look at their neighbours.
 BEYOND = re.compile("[^\x00-\u024f]")
+#: Of the others, U+0130 alone is not one letter in lower case.
+UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: str.split() also splits at these, which are no white space.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Marks that are taken off a word's end, and words that the library is given at a time.
@@ -78,6 +81,7 @@ class Library:
         for token, i in self.lib.get_vocab().items() if suffix else ():
             self.last[i] = token.endswith(suffix)
         self.memory: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> list[str]:
         """Learns words of letters, many at a time; gives back those whose ids can't be told apart."""
@@ -95,42 +99,61 @@ class Library:
                 at = end
         return left
 
-    def _learn(self, chunks: list[str]) -> None:
-        memory, words, new, ends = self.memory, set(), [], []
+    def _learn(self, chunks: set[str]) -> None:
+        memory, words, marks, new, ends = self.memory, set(), set(), [], []
         normal = self.lib.normalizer.normalize_str if self.lib.normalizer is not None else str
         for c in chunks:
             word = c.rstrip(MARKS) if self.parts else c
-            if not word.isalpha() or not (word.isascii() or normal(word).isalpha()):  # İ is i and a mark in lower case
+            if not word.isalpha() or UNSURE.search(word) and not normal(word).isalpha():  # İ is i and a mark in lower case
                 new.append(c)
                 continue
-            if word != c:
+            if len(word) != len(c):
                 ends.append((c, word, c[len(word) :]))
-                if ends[-1][2] not in memory:
-                    new.append(ends[-1][2])
-            if word not in memory:
-                words.add(word)
-        words = list(words)
+                marks.add(ends[-1][2])
+            words.add(word)
+        words = self._known(words)
+        new += self._known(marks)
         new += self._words(words) if len(self.last) and words else words
         for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
             memory[c] = np.asarray(e.ids, "<u4").tobytes()
-        for c, word, marks in ends:
-            memory[c] = memory[word] + memory[marks]
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        for c, word, tail in ends:
+            memory[c] = memory[word] + memory[tail]
+
+    def _known(self, chunks: set[str]) -> list[str]:
+        """Those that neither generation of the memory has; those of the last one are taken over."""
+        memory, before = self.memory, self.before
+        new = [c for c in chunks if c not in memory]
+        memory.update((c, before[c]) for c in new if c in before)
+        return [c for c in new if c not in before]
+
+    def _group(self, texts: list[list[str]]) -> Iterator[bytes]:
+        if len(self.memory) > MEMORY:
+            self.memory, self.before = {}, self.memory
+        if new := self._known(set().union(*texts)):
+            self._learn(set(new))
+        get = self.memory.__getitem__
+        for chunks in texts:
+            yield b"".join(map(get, chunks))
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids, in order."""
         if not self.by_chunk:
-            for e in self.lib.encode_batch_fast(texts, add_special_tokens=False):
-                yield np.asarray(e.ids, "<u4").tobytes()
+            for t in texts:
+                yield np.asarray(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
             return
+        group, held = [], 0
         for t in texts:
+            held += len(t)
             if self.folds and (t.isascii() or not BEYOND.search(t)) and "<|" not in t:
                 t = t.lower()
-            chunks = t.split(" ") if SEPARATORS.search(t) else t.split()
-            if new := [c for c in set(chunks) if c not in self.memory]:
-                if len(self.memory) > MEMORY:
-                    self.memory.clear()
-                    new = list(set(chunks))
-                self._learn(new)
-            yield b"".join(map(self.memory.__getitem__, chunks))
+            group.append(t.split(" ") if SEPARATORS.search(t) else t.split())
+            if held > TOGETHER:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
+
+    def forget(self) -> None:
+        self.memory, self.before = {}, {}
 
 
 @lru_cache(maxsize=2)
@@ -139,132 +162,168 @@ def library(path: str) -> Library:
 
 
 class Writer:
-    def __init__(self, out, frame_docs: int, frame_ids: int):
-        self.out, self.frame_docs, self.frame_ids = out, frame_docs, frame_ids
-        self.at, self.frames, self.docs, self.buffer, self.held, self.first = 0, [], [], [], 0, 0
-        self.zip = zstandard.ZstdCompressor(level=1, write_checksum=True)
+    """A file under way: add() documents in the order of doc_id, then close()."""
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        if self.buffer and (len(self.buffer) >= self.frame_docs or self.held + len(ids) > 4 * self.frame_ids):
-            self._flush()
-        self.buffer.append(ids)
-        self.held += len(ids)
-        self.docs.append((doc_id, len(ids) // 4))
+    def __init__(self, out):
+        self.out, self.at, self.docs, self.n_ids = out, 0, [], 0
+        self.zip = zstandard.ZstdCompressor(level=1, write_checksum=True)
 
-    def _flush(self) -> None:
-        data = self.zip.compress(b"".join(self.buffer))
-        self.frames.append((self.at, len(data), zlib.crc32(data), self.first))
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        data = self.zip.compress(ids)
+        self.docs.append((self.at, len(data), zlib.crc32(data), doc_id or 0, len(ids) // 4, doc_id is None))
         self.out.write(data)
-        self.at, self.first, self.buffer, self.held = self.at + len(data), len(self.docs), [], 0
+        self.at += len(data)
+        self.n_ids += len(ids) // 4
 
-    def close(self) -> int:
-        if self.buffer:
-            self._flush()
-        data = self.zip.compress(np.array(self.frames, FRAME).tobytes() + np.array(self.docs, DOC).tobytes())
+    def close(self) -> None:
+        data = self.zip.compress(np.array(self.docs, DOC).tobytes())
         self.out.write(data)
-        self.out.write(TRAILER.pack(self.at, len(data), zlib.crc32(data), len(self.frames), len(self.docs), MAGIC))
-        return sum(n for _, n in self.docs)
+        self.out.write(TRAILER.pack(self.at, len(data), zlib.crc32(data), len(self.docs), MAGIC))
+        self.out.close()
+
+    def facts(self) -> tuple:
+        """n_docs, n_ids, least and largest doc_id (null if all are)."""
+        ids = [d[3] for d in (self.docs[0], self.docs[-1]) if not d[5]]
+        first = next((d[3] for d in self.docs if not d[5]), None)
+        return len(self.docs), self.n_ids, first, ids[-1] if ids else None
 
 
 class Reader:
-    """documents() streams all; get(doc_id) reads one frame."""
+    """documents() streams all; get(doc_id) reads the frames of that document alone."""
 
     def __init__(self, file):
-        self.file = file
-        size = file.size()
+        self.file, size = file, file.size()
         if size < TRAILER.size:
             raise ValueError("no trailer")
-        at, n, crc, frames, docs, magic = TRAILER.unpack(file.read_at(TRAILER.size, size - TRAILER.size))
+        at, n, crc, docs, magic = TRAILER.unpack(file.read_at(TRAILER.size, size - TRAILER.size))
         data = file.read_at(n, at)
         if magic != MAGIC or zlib.crc32(data) != crc:
             raise ValueError("damaged seek table")
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        self.frames = np.frombuffer(raw, FRAME, frames)
-        self.docs = np.frombuffer(raw, DOC, docs, frames * FRAME.itemsize)
-
-    def frame(self, i: int) -> tuple[int, int, bytes]:
-        f = self.frames[i]
-        data = self.file.read_at(int(f["size"]), int(f["offset"]))
-        if zlib.crc32(data) != f["crc"]:
+        self.unzip = zstandard.ZstdDecompressor()
+        self.docs = np.frombuffer(self.unzip.decompress(data), DOC, docs)
+
+    def frame(self, i: int) -> bytes:
+        """The ids of the i-th document."""
+        d = self.docs[i]
+        data = self.file.read_at(int(d["size"]), int(d["offset"]))
+        if zlib.crc32(data) != d["crc"]:
             raise ValueError(f"damaged frame {i}")
-        end = int(self.frames[i + 1]["first"]) if i + 1 < len(self.frames) else len(self.docs)
-        return int(f["first"]), end, zstandard.ZstdDecompressor().decompress(data)
+        return self.unzip.decompress(data)
 
-    def documents(self) -> Iterator[tuple[int, bytes]]:
-        for i in range(len(self.frames)):
-            yield from self._of(i)
-
-    def _of(self, i: int) -> Iterator[tuple[int, bytes]]:
-        first, end, raw = self.frame(i)
+    def documents(self, near: int = 1 << 22) -> Iterator[tuple[int | None, bytes]]:
+        """All documents; frames that follow each other are read together, about `near` bytes at a time."""
+        ends = self.docs["offset"].astype(np.int64) + self.docs["size"]
         at = 0
-        for d in self.docs[first:end]:
-            yield int(d["doc_id"]), raw[at : (at := at + 4 * int(d["n"]))]
+        while at < len(self.docs):
+            begin = int(self.docs["offset"][at])
+            end = max(at + 1, int(np.searchsorted(ends, begin + near, "right")))
+            data = self.file.read_at(int(ends[end - 1]) - begin, begin)
+            for i, (offset, size, crc, doc_id, _, no_id) in enumerate(self.docs[at:end].tolist(), at):
+                part = data[offset - begin : offset - begin + size]
+                if zlib.crc32(part) != crc:
+                    raise ValueError(f"damaged frame {i}")
+                yield None if no_id else doc_id, self.unzip.decompress(part)
+            at = end
 
     def get(self, doc_id: int) -> list[np.ndarray]:
-        rows = np.flatnonzero(self.docs["doc_id"] == doc_id)
-        found = sorted({int(np.searchsorted(self.frames["first"], r, "right")) - 1 for r in rows})
-        return [np.frombuffer(ids, "<u4") for i in found for d, ids in self._of(i) if d == doc_id]
+        """Ids of every row with that doc_id."""
+        nulls = int(self.docs["no_id"].sum())  # they come first
+        own = self.docs["doc_id"][nulls:]
+        low, high = np.searchsorted(own, doc_id), np.searchsorted(own, doc_id, "right")
+        return [np.frombuffer(self.frame(nulls + i), "<u4") for i in range(int(low), int(high))]
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, files: int, frame_docs: int = 64, frame_ids: int = 1 << 18) -> DataFrame:
-    """Writes the files below path, at once; returns (file int, name string, n_docs long, n_ids long), a row per file."""
+FILES = "file int, part int, name string, n_docs long, n_ids long, first_id long, last_id long"
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, ranges: int, most_bytes: int = 1 << 28) -> DataFrame:
+    """Writes the files below path, at once; returns FILES, a row per file."""
     fs, base = store(path)
     fs.create_dir(base, recursive=True)
+    names = [f.split()[0] for f in FILES.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(path)
         lib, part = library(tokenizer), TaskContext.get().partitionId()
-        draft, name = f"{base}/_draft-{uuid.uuid4().hex}", f"ids-{part:06d}.slt"
-        out, end = None, int(end_id).to_bytes(4, "little")
+        out, draft, done, end = None, "", [], int(end_id).to_bytes(4, "little")
+
+        def close() -> None:
+            name = f"ids-{part:06d}-{len(done):04d}.slt"
+            out.close()
+            fs.move(draft, f"{base}/{name}")
+            done.append((part, len(done), name, *out.facts()))
+
         for b in batches:
-            if out is None:
-                out = Writer(fs.open_output_stream(draft), frame_docs, frame_ids)
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for i, ids in zip(b["doc_id"], lib.encode_many(texts)):
-                out.add(NO_ID if pd.isna(i) else int(i), ids + end)
+            texts = (t.as_py() or "" for t in b.column(1))
+            for i, ids in zip((i.as_py() for i in b.column(0)), lib.encode_many(texts)):
+                if out is None:
+                    draft = f"{base}/_draft-{uuid.uuid4().hex}"
+                    out = Writer(fs.open_output_stream(draft))
+                out.add(i, ids + end)
+                if out.at >= most_bytes:
+                    close()
+                    out = None
         if out is not None:
-            total = out.close()
-            out.out.close()
-            fs.move(draft, f"{base}/{name}")
-            yield pd.DataFrame({"file": [part], "name": [name], "n_docs": [len(out.docs)], "n_ids": [total]})
+            close()
+        lib.forget()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n < 2 else pa.string() if n == 2 else pa.int64()) for n, c in enumerate(zip(*done))], names)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(released(run), FILES).write.parquet(f"{path}/_files")
+    return docs.sparkSession.read.schema(FILES).parquet(f"{path}/_files")
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = rows.mapInPandas(run, "file int, name string, n_docs long, n_ids long")
-    done.write.parquet(f"{path}/_files")
-    return docs.sparkSession.read.parquet(f"{path}/_files")
+
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in READ.split(", ")])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (u32 little-endian) of every document in the files."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = store(path)
         for b in batches:
-            for name, at in zip(b["name"], b["before"]):
+            for name, at in zip(*(c.to_pylist() for c in b.columns)):
                 with fs.open_input_file(f"{base}/{name}") as f:
                     rows, held = [], 0
                     for d, ids in Reader(f).documents():
-                        rows.append((None if d == NO_ID else d, at, len(ids) // 4, zlib.crc32(ids), ids))
+                        rows.append((d, at, len(ids) // 4, zlib.crc32(ids), ids))
                         at, held = at + len(ids) // 4, held + len(ids)
                         if held > 1 << 23:
-                            yield _frame(rows)
+                            yield _rows(rows)
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows)
+                        yield _rows(rows)
 
-    table = spark.read.parquet(f"{path}/_files")
+    table = spark.read.schema(FILES).parquet(f"{path}/_files")
     # one row per file: a running sum over as many rows as there are files
-    table = table.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return table.select("name", "before").repartition(partitions(spark)).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    before = F.sum("n_ids").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1))
+    table = table.withColumn("before", F.coalesce(before, F.lit(0)))
+    return table.select("name", "before").repartition(partitions(spark)).mapInArrow(released(run), READ)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-    return out.astype({"doc_id": "Int64"})
+def fetch(spark: SparkSession, path: str, ids: Sequence[int]) -> dict[int, list[np.ndarray]]:
+    """The ids of a few documents: only files whose range has them are opened, only their frames decompressed."""
+    wanted, out = sorted(set(ids)), {}
+    table = spark.read.schema(FILES).parquet(f"{path}/_files")
+    hit = F.exists(F.array(*[F.lit(i) for i in wanted]), lambda i: (i >= F.col("first_id")) & (i <= F.col("last_id")))
+    fs, base = store(path)
+    for r in table.where(hit).orderBy("file", "part").collect() if wanted else ():
+        with fs.open_input_file(f"{base}/{r['name']}") as f:
+            reader = Reader(f)
+            for i in wanted:
+                if r["first_id"] <= i <= r["last_id"] and (found := reader.get(i)):
+                    out.setdefault(i, []).extend(found)
+    return out
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -188,16 +188,49 @@ def test_langid(spark):
 def test_automaton_knows_all_substrings():
     rnd = random.Random(7)
     s = [rnd.randint(0, 2) for _ in range(60)]
-    move = langid.suffix_automaton(s, 3)
+    move = langid.suffix_automaton(s)
     has = {tuple(s[a:b]) for a in range(60) for b in range(a, 61)}
     for _ in range(500):
         t = tuple(rnd.randint(0, 2) for _ in range(rnd.randint(1, 9)))
         state = 0
         for c in t:
-            state = move[state, c] if state >= 0 else -1
+            state = move[state].get(c, -1) if state >= 0 else -1
         assert (state >= 0) == (t in has)
 
 
+def test_phrases_equal_brute_force():
+    rnd = random.Random(3)
+    normal = lambda t: f" {' '.join(''.join(c if c.isalpha() else ' ' for c in t.lower()).split())} "
+
+    def brute(t, sample):
+        n = at = 0
+        while at < len(t):
+            end = at + 1
+            while end <= len(t) and t[at:end] in sample:
+                end += 1
+            at, n = max(at + 1, end - 1), n + 1
+        return n
+
+    for _ in range(60):
+        samples = {k: "".join(rnd.choice("abcé  ") for _ in range(rnd.randint(1, 60))) + "a" for k in "xyz"}
+        model = langid.Model(samples)
+        texts = [t for t in ("".join(rnd.choice("abcdé ²") for _ in range(rnd.randint(0, 90))) for _ in range(6)) if normal(t).strip()]
+        parts = [langid.coded(t, model.codes) for t in texts]
+        sizes = np.array([len(p) for p in parts])
+        got = model.moves.phrases(np.concatenate(parts), np.cumsum(sizes) - sizes, sizes)
+        assert got.T.tolist() == [[brute(normal(t), normal(samples[k])) for k in model.langs] for t in texts]
+    assert model.predict(["²½", "", "123"]) == [("und", 0.0)] * 3
+
+
+def test_the_end_of_a_long_text_decides(spark):
+    """Neither the parse nor the sample stops at a prefix; one word may be as long as a text."""
+    model = langid.Model({"aa": "balomi " * 50, "bb": "krutzeg " * 50})
+    assert [model.predict([t])[0][0] for t in ("zz " * 300 + "balomi " * 9000, "balomi " * 3000 + "krutzeg " * 9000, "balo" * 40 + "krutzeg" * 900)] == ["aa", "bb", "bb"]
+    late = [(i, "?! " * 9000 + "krutzeg " * 40 if i % 2 else "balomi " * 40, "bb" if i % 2 else "aa") for i in range(40)]
+    got = langid.query(spark.createDataFrame(late, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("bb" if r.doc_id % 2 else "aa") for r in got)
+
+
 def test_toxicity(spark, docs):
     rnd = random.Random(8)
     rows, labels = [], []
@@ -218,7 +251,7 @@ def test_toxicity(spark, docs):
 
 
 def test_shouting_is_counted_over_the_whole_text():
-    shouts = lambda *parts: toxicity.Model().hits(" ".join(w for word, n in parts for w in [word] * n))[2][-1]
+    shouts = lambda *parts: toxicity.Model().hits(" ".join(w for word, n in parts for w in [word] * n))[2][4]
     assert shouts(("quiet", 500), ("LOUD", 600)) == 1
     assert shouts(("LOUD", 400), ("quiet", 2000)) == 0
     assert shouts(("LOUD", 500), ("quiet", 500)) == 0
@@ -240,8 +273,16 @@ def test_token_files(spark, docs, rows, tmp_path):
         at += len(ids)
     name = files.orderBy("file").first()["name"]
     fs, base = token_files.store(path)
+    want = lambda t: [*lib.encode(t or "", add_special_tokens=False).ids, 2]
     with fs.open_input_file(f"{base}/{name}") as f:
-        assert token_files.Reader(f).get(0)[0].tolist() == [*lib.encode(rows[0][1], add_special_tokens=False).ids, 2]
+        reader = token_files.Reader(f)
+        read_at, seen = reader.file.read_at, []
+        reader.file = type("", (), {"read_at": lambda _, n, at: seen.append(n) or read_at(n, at)})()
+        assert reader.get(0)[0].tolist() == want(rows[0][1]) and seen == [reader.docs["size"][0]]  # its frame alone
+    got = token_files.fetch(spark, path, [5, 77, 10**6])
+    assert {k: sorted(x.tolist() for x in v) for k, v in got.items()} == {i: sorted(want(r[1]) for r in rows if r[0] == i) for i in (5, 77)}
+    small = token_files.write(docs, f"{path}-small", tokenizer(), 2, 2, most_bytes=2000)
+    assert small.count() > 4 and token_files.read(spark, f"{path}-small").drop("ids").exceptAll(token_files.read(spark, path).drop("ids")).isEmpty()
     broken = bytearray(open(f"{path}/{name}", "rb").read())
     broken[3] ^= 1
     open(f"{path}/broken", "wb").write(broken)
@@ -249,9 +290,13 @@ def test_token_files(spark, docs, rows, tmp_path):
         list(token_files.Reader(f).documents())
 
 
-def test_bpe(docs):
+def test_bpe(docs, rows):
     from tokenizers import Tokenizer
 
+    def facts(t):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
     lib, enc = Tokenizer.from_file(tokenizer()), bpe.encoder(tokenizer())
     rnd = random.Random(9)
     odd = ["".join(rnd.choice("ab eé.'sŚΣİ\x1c\x85漢🙂<|endoftext|>12,!") for _ in range(rnd.randint(0, 40))) for _ in range(1000)]
@@ -262,8 +307,8 @@ def test_bpe(docs):
         d = bpe.Decoder(enc.of)
         parts = [d.text(ids[i : i + 3]) for i in range(0, len(ids), 3)]
         assert "".join(parts) + d.end() == lib.decode(ids, skip_special_tokens=False)
-    for r in bpe.digests(docs, tokenizer()).where("doc_id < 20").collect():
-        assert r.n_tokens > 0
+    want = sorted((r[0], *facts(r[1])) for r in rows)
+    assert sorted(map(tuple, bpe.digests(docs, tokenizer()).collect())) == want
     d = bpe.Decoder(enc.of, byte_level=True)
     assert d.text([enc.of.ids[c] for c in map(enc.of.symbols.__getitem__, "é".encode())][:1]) == ""
 
@@ -326,3 +371,140 @@ def test_chunked_encoding_equals_the_library():
     got = token_files.Library(tokenizer()).encode_many(texts)
     for t, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_lookahead_is_sufficient():
+    """Tokens that end the lookahead's length before a prefix's end are those of the whole piece."""
+    of, rnd = bpe.encoder(tokenizer()).of, random.Random(12)
+    assert of.longest <= of.lookahead < 1000
+    for _ in range(40):
+        t = "".join(rnd.choice("aeinorst") for _ in range(600))
+        whole, ends, at = list(of.stream(t)), {}, 0
+        for token in whole:
+            at += of.length(token)
+            ends[at] = token
+        for cut in (200, 311, 450, 599):
+            at = 0
+            for token in of.merged(list(t[:cut])) if cut == 200 else list(of.stream(t[:cut])):
+                at += of.length(token)
+                if at <= cut - of.lookahead:
+                    assert ends[at] == token
+    held = iter(of.stream(c for c in "the" * 100_000))
+    assert next(held) == "the"  # long before the end
+
+
+BIG = 2**53
+
+
+@pytest.fixture(scope="module")
+def large_ids(spark):
+    rnd = random.Random(21)
+    own = [(None, text(rnd, 40), "en", "s0", 0, "x", "y"), (BIG + 1, text(rnd, 40), "en", "s0", 0, "x", "y"), (BIG + 3, "moron " + text(rnd, 40), "de", "s1", 0, "x", "y"), (None, None, None, None, None, None, None), (-(2**63), "a b", "en", "s1", 0, "x", "y")]
+    return spark.createDataFrame(own, DOCS).coalesce(1)
+
+
+def test_ids_stay_exact_beside_nulls(spark, large_ids):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    want = [(-1, -(2**63)), (-1, BIG + 1), (-1, BIG + 3), (0, None), (0, None)]
+    model = toxicity.learn(large_ids, none)
+    some = (ngram_join.join(large_ids), pii.find(large_ids), toxicity.score(large_ids, model), langid.query(large_ids), token_files.write_and_read(large_ids, tokenizer()), bpe.digests(large_ids, tokenizer()), stream_dedup.dedup(large_ids), mixing.query(large_ids), line_dedup.query(large_ids))
+    for got in some:
+        assert sorted((0, None) if r.doc_id is None else (-1, r.doc_id) for r in got.collect()) == want
+    assert {r.component_id for r in ngram_join.join(large_ids).collect()} == {None, BIG + 1, BIG + 3, -(2**63)}
+    model.weights[1] = 30.0  # any insult
+    assert {r.doc_id for r in toxicity.reject(large_ids, model).collect()} == {None, BIG + 1, -(2**63)}
+
+
+def test_clashing_columns_and_shared_ids(spark):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, n long, any string, passes int, h long, key string, row string, id long, sha string, shard int, _id long, _r int"
+    rnd = random.Random(22)
+    own = [(i % 9, text(rnd, rnd.randint(1, 30)), "en", rnd.choice(["a", "b"]), 1, 2, "any", 3, 4, "key", "row", 5, "sha", 6, 7, 8) for i in range(40)]
+    own += [own[0], own[0], own[1][:1] + (None,) + own[1][2:]]
+    docs = spark.createDataFrame(own, fields)
+    kept = stream_dedup.keep_first(docs, stream_dedup.dedup(docs))
+    assert kept.columns == docs.columns and kept.count() == 41
+    planned = mixing.plan(docs).agg(F.sum("taken")).first()[0]
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == planned
+    once = ngram_join.keep_one(docs, ngram_join.join(docs))
+    assert once.columns == docs.columns
+    for got in (pii.find(docs), line_dedup.query(docs), bpe.digests(docs, tokenizer()), token_files.write_and_read(docs, tokenizer()), langid.query(docs), toxicity.query(docs, docs.selectExpr("doc_id", "0 toxic"))):
+        assert got.count() == len(own)
+
+
+def test_each_shard_gets_its_quota(spark):
+    """The tree's leaves add up to the block quotas, halve them evenly and are met by the draws."""
+    blocks = spark.createDataFrame([("a", 300), ("b", 41), ("c", 1)], "key string, n int")
+    shares = {r.key: [e.end for e in r.ends] for r in mixing.quotas(blocks, 3, 3).collect()}
+    assert {k: v[-1] for k, v in shares.items()} == {"a": 300, "b": 41, "c": 1}
+    per = {}
+    for r in mixing.quotas(blocks, 3, 3).collect():
+        last = 0
+        for e in r.ends:
+            per[e.shard] = per.get(e.shard, 0) + e.end - last
+            last = e.end
+    assert sorted(per) == list(range(8)) and max(per.values()) - min(per.values()) <= 1
+    two = blocks.where("key != 'c'")
+    left = [sum(r.ends[0].end for r in mixing.quotas(two, seed, 1).where("key = 'a'").collect()) for seed in range(8)]
+    assert 135 < sum(left) / len(left) < 165 and len(set(left)) > 2  # hypergeometric, not a fixed half
+
+
+def test_clustered_neighbours_are_found_early(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    x = np.repeat(centres, 60, 0) + 0.1 * rng.standard_normal((2400, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    vec = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (2401, x[20].tolist())]
+    e = spark.createDataFrame(vec, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(ann.usable(e), ann.usable(e).where("vec_id % 20 = 0"), block=600, sample=200, slice_=50).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert len(got) == 120 and all([r["rank"] for r in sorted(v, key=lambda r: r["rank"])] == list(range(1, 21)) for v in got.values())
+    ids = np.array([i for i, _ in vec])
+    every = np.array([v for _, v in vec])
+    found = 0
+    for q, best in got.items():
+        s = np.where(ids == q, -np.inf, every @ x[q])
+        found += len({int(i) for i in ids[np.lexsort((ids, -s))[:20]]} & {r.vec_id for r in best})
+        ordered = sorted(best, key=lambda r: r["rank"])
+        assert ordered == sorted(ordered, key=lambda r: (-r.score, r.vec_id))
+    assert found >= 0.9 * 20 * len(got)
+    assert sum(v[0].verified for v in got.values()) < 0.4 * len(vec) * len(got)
+
+
+def test_label_model_weighs_voters():
+    rng = np.random.default_rng(6)
+    true = rng.random(4000) < 0.3
+    says = lambda right: np.where(rng.random(4000) < right, true, ~true).astype(int)
+    good = [says(0.9) for _ in range(5)]
+    votes = np.column_stack([*good, good[0], says(0.5), says(0.5)])  # a copy of a voter, and two that guess
+    given = says(0.8)
+    post = toxicity.label_model(votes, given)
+    assert ((post > 0.5) == true).mean() > 0.95 > (given == true).mean() + 0.1
+
+
+def test_salted_join_equals_join(spark):
+    from spanloom.llm.common import hot_keys, materialize, salted_join
+
+    rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then 'warm' else concat('k', id) end k")
+    each = materialize(rows.groupBy("k").agg(F.count("*").alias("n")), "test-each")
+    hot = hot_keys(each.where("n > 1"), ["k"], "n")
+    assert {r.k for r in hot.collect()} == {"hot", "warm"}
+    assert sorted(map(tuple, salted_join(rows, each, ["k"], hot, ["id"]).select("id", "k", "n").collect())) == sorted(map(tuple, rows.join(each, "k").select("id", "k", "n").collect()))
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rnd = random.Random(23)
+    own = [(i, "\n".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "")]
+    seen, want = set(), {}
+    for i, t in own:
+        lines, gone = (t or "").split("\n"), set()
+        for p in range(len(lines) - 2):
+            w = tuple(lines[p : p + 3])
+            if w in seen:
+                gone |= {p, p + 1, p + 2}
+            seen.add(w)
+        want[i] = (len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    got = line_dedup.dedup(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got} == want

@@ -7,8 +7,9 @@ degrees, so once the k-th best verified distance d and the projected radius r re
 P(chi2(dims) <= r^2 / d^2) >= stop, a nearer vector is unlikely to lie beyond r, and the search ends.
 
 Distribution: a kd-tree over a bounded sample cuts the projected space into regions; every vector is in the index, in
-its region. From the sample's k-th best each query has a radius beyond which the test already holds, and goes to the
-regions within it only. A region's vectors (in blocks of at most about `block` vectors, a large region being several)
+its region. A query is first sent to the region that it lies in, which gives it a k-th best near by; with that (or the
+sample's, if better) it has a radius beyond which the test already holds, and goes to the other regions within it only.
+A region's vectors (in blocks of at most about `block` vectors, a large region being several)
 get a kd-tree of their own; a query takes its leaves in the order of projected distance, and of a leaf's vectors those
 within the radius at which the test holds are verified by the original vectors, until a leaf lies beyond it. Queries
 come in slices of about `slice_` as well, so a group's two sides are bounded. The best of all groups are merged per
@@ -156,23 +157,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 16,
                 x = np.stack(b["v"].to_numpy())
                 yield pd.DataFrame({"region": region_of(shared.value[2], flat(x)), "id": b["vec_id"].to_numpy(), "v": b["v"], "bound": np.nan})
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, own, _, low, high = shared.value
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries in the region that they lie in, with the sample's k-th best score."""
+        ids, own, tree, _, _ = shared.value
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at : at + 512]
-                if not len(part):
-                    continue
                 x = np.stack(part["v"].to_numpy())
                 s = x @ own.T
                 s[ids[None] == part["vec_id"].to_numpy()[:, None]] = -np.inf
                 bound = np.full(len(x), -np.inf)
                 if s.shape[1] > k:
                     bound = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                yield pd.DataFrame({"region": region_of(tree, flat_query(x)), "id": part["vec_id"].to_numpy(), "v": part["v"], "bound": bound})
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries in the other regions within the radius that their bound leaves."""
+        _, _, _, low, high = shared.value
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                x, bound = np.stack(part["v"].to_numpy()), part["bound"].to_numpy()
                 norm = np.sqrt((x * x).sum(1))
                 far = np.sqrt(np.maximum(0, distance2(np.maximum(bound, -1e300), norm)) * limit)
-                q, r = np.nonzero(_box_gap(flat_query(x), low, high) <= far[:, None])
-                yield pd.DataFrame({"region": r, "id": part["vec_id"].to_numpy()[q], "v": [x[i] for i in q], "bound": bound[q]})
+                near = _box_gap(flat_query(x), low, high) <= far[:, None]
+                near[np.arange(len(x)), part["region"].to_numpy()] = False
+                q, r = np.nonzero(near)
+                yield pd.DataFrame({"region": r, "id": part["id"].to_numpy()[q], "v": [x[i] for i in q], "bound": bound[q]})
 
     fields = "region long, id long, v array<double>, bound double"
     # large regions are several blocks, by hash, and many queries several slices: each block meets each slice
@@ -183,8 +194,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 16,
     to = many.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     rows = placed.join(F.broadcast(many), "region").withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).drop("blocks")
     rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    sent = queries.mapInPandas(send, fields).join(F.broadcast(to), "region").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-
     def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "verified": pd.Series(dtype="int64")})
@@ -235,9 +244,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 16,
                 out.append((np.full(len(best_i), own), best_i, best_s, np.concatenate([[verified], np.zeros(len(best_i) - 1, np.int64)])))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "verified"), map(np.concatenate, zip(*out)))))
 
-    group = ["region", "block", "slice"]
-    found = rows.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(find, "query_id long, vec_id long, score double, verified long")
+    def searched(sent: DataFrame) -> DataFrame:
+        sent = sent.join(F.broadcast(to), "region").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+        group = ["region", "block", "slice"]
+        return rows.groupBy(*group).cogroup(sent.groupBy(*group)).applyInPandas(find, "query_id long, vec_id long, score double, verified long")
+
+    first = materialize(queries.mapInPandas(home, fields), "ann-home")
+    near = materialize(searched(first), "ann-near")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    known = first.join(kth, "id", "left").select("region", "id", "v", F.greatest("bound", F.coalesce("kth", "bound")).alias("bound"))
+    found = near.unionByName(searched(known.mapInPandas(others, fields)))
     best = found.withColumns({"verified": F.sum("verified").over(Window.partitionBy("query_id")), "rank": F.row_number().over(w)})
     return best.where((F.col("rank") <= k) & (F.col("score") > float("-inf"))).select("query_id", "rank", "vec_id", "score", "verified")
 

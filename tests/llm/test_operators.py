@@ -458,7 +458,7 @@ def test_clustered_neighbours_are_found_early(spark):
     vec = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (2401, x[20].tolist())]
     e = spark.createDataFrame(vec, "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.search(ann.usable(e), ann.usable(e).where("vec_id % 20 = 0"), block=600, sample=200, slice_=50).collect():
+    for r in ann.search(ann.usable(e), ann.usable(e).where("vec_id % 20 = 0"), block=600, sample=400, slice_=50).collect():
         got.setdefault(r.query_id, []).append(r)
     assert len(got) == 120 and all([r["rank"] for r in sorted(v, key=lambda r: r["rank"])] == list(range(1, 21)) for v in got.values())
     ids = np.array([i for i, _ in vec])

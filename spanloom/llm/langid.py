@@ -186,7 +186,7 @@ def learn(docs: DataFrame, rows: int = 150, chars: int = 20_000) -> dict[str, st
     order = Window.partitionBy("lang").orderBy(size > chars, F.when(size > chars, size), h, "doc_id", "text")
     first = picked.withColumn("r", F.row_number().over(order)).where((F.col("r") <= rows) & ((size <= chars) | (F.col("r") == 1)))
     texts: dict[str, dict[str, None]] = {}
-    for r in first.select("lang", "text", "r").orderBy("lang", "r").toLocalIterator():
+    for r in first.select("lang", "text", "r").orderBy("lang", "r").collect():
         own = texts.setdefault(r["lang"], {})
         if not own or sum(map(len, own)) + len(r["text"]) <= chars:
             own[r["text"]] = None

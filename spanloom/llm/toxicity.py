@@ -156,8 +156,8 @@ def lexicons(rows: DataFrame, positive: int, negative: int) -> tuple[dict[str, i
     """Words and beginnings of toxic rows with enough evidence, numbered by it; thresholds alone decide."""
     rate = positive / (positive + negative)
     found = _mine(rows.where("toxic = 1")).where(f"n >= {2 if positive < 100 else 3} and fronts >= 2")
-    cand = {r["token"]: min(r["n"], r["fronts"]) if r["fronts"] < 40 else r["n"] for r in found.toLocalIterator()}  # bounded by the sample
-    clean = {r["token"]: r["n"] for r in _count(rows.where("toxic = 0"), frozenset(cand)).toLocalIterator()}
+    cand = {r["token"]: min(r["n"], r["fronts"]) if r["fronts"] < 40 else r["n"] for r in found.collect()}  # bounded by the sample
+    clean = {r["token"]: r["n"] for r in _count(rows.where("toxic = 0"), frozenset(cand)).collect()}
     need = math.log(max(200, 5 * len(cand)) / 4) / math.log(1 / max(rate, 1e-3))  # chance finds: a few in all
     best = {}
     for t, p in cand.items():
@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
 
     # sparse: a few numbers for each of max_rows rows at most
     seen = map_texts(rows.select("toxic", "text"), run, "at array<int>, value array<double>, votes array<int>")
-    got = sorted((r["at"], r["value"], r["votes"], r["toxic"]) for r in seen.toLocalIterator())
+    got = sorted((r["at"], r["value"], r["votes"], r["toxic"]) for r in seen.collect())
     post = label_model(np.array([g[2] for g in got]), np.array([g[3] for g in got]))
     model.weights = train_linear(model.size, [(g[0], g[1]) for g in got], post)
     return model

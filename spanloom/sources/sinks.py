@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import tempfile
@@ -11,7 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX = "benchmark string, model string, method string, seed string, percent string, status string, requested int, successful int, failed int, metrics string"
+#: Columns of the result index.
+INDEX = ("benchmark", "model", "method", "seed", "subset", "requested", "successful", "failed", "metrics", "run")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -20,8 +22,13 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One object a line, keys sorted."""
-    rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).write.mode(mode).text(path)
+    """One object a line, keys sorted, nulls written."""
+    rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_json(path: str, value: Any) -> None:
@@ -63,18 +70,43 @@ def run_path(root: str, benchmark: str, model: str, method: str, seed: int) -> s
 
 
 def result_index(spark: SparkSession, root: str) -> DataFrame:
-    """A row per metrics file: the run's manifest joined by folder."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1)
-    manifests = spark.read.option("wholetext", True).text(f"{root}/runs/*/*/*/*/manifest.json").select(folder.alias("dir"), F.from_json("value", "benchmark string, model string, method string, seed string").alias("m"))
-    metrics = spark.read.option("wholetext", True).text(f"{root}/runs/*/*/*/*/metrics-*.json").select(folder.alias("dir"), F.regexp_extract(F.col("_metadata.file_path"), r"metrics-(.+)\.json$", 1).alias("percent"), F.from_json("value", "status string, requested int, successful int, failed int, metrics map<string,double>").alias("r"))
-    rows = manifests.join(metrics, "dir").select("m.*", "percent", "r.status", "r.requested", "r.successful", "r.failed", F.to_json("r.metrics").alias("metrics"))
-    return rows.orderBy("benchmark", "model", "method", "seed", "percent")
-
-
-def markdown(rows: DataFrame) -> str:
-    """The index as a table; an index has as many rows as there are runs."""
-    head = ["benchmark", "model", "method", "seed", "percent", "status", "done", "metrics"]
-    lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    for r in rows.toLocalIterator():
-        lines.append(f"| {r.benchmark} | {r.model} | {r.method} | {r.seed} | {r.percent} | {r.status} | {r.successful}/{r.requested} | {r.metrics or ''} |")
+    """INDEX: a row per metrics file of a run, its manifest joined by folder; runs and subsets in order of their paths."""
+    text = lambda glob: spark.read.text(f"{root}/runs/*/*/*/seed-*/{glob}", wholetext=True).withColumn("file", F.expr("_metadata.file_path"))
+    place = "^(.*/(runs/[^/]+/[^/]+/[^/]+/[^/]+))/"
+    if not exists(spark, f"{root}/runs"):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in INDEX))
+    manifests = text("manifest.json").select(F.regexp_extract("file", place, 1).alias("dir"), F.regexp_extract("file", place, 2).alias("run"), F.from_json("value", "benchmark string, model string, method string, seed string").alias("m"))
+    metrics = text("metrics/p*.json").select(
+        F.regexp_extract("file", place, 1).alias("dir"), F.regexp_extract("file", r"/p([^/]+)\.json$", 1).alias("subset"),
+        *[F.coalesce(F.get_json_object("value", f"$.{c}").cast("int"), F.lit(0)).alias(c) for c in ("requested", "successful", "failed")],
+        F.coalesce(F.get_json_object("value", "$.metrics"), F.lit("null")).alias("metrics"),
+    )
+    rows = manifests.join(metrics, "dir").select(*[f"m.{c}" for c in INDEX[:4]], *INDEX[4:9], "run")
+    return rows.orderBy("run", "subset")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def markdown(rows: list) -> str:
+    """The index as a table for readers."""
+    head = ["Benchmark", "Model", "Method", "Seed", "Subset", "Success", "Metrics"]
+    lines = ["# Results", "", "Written from the runs' manifests and metrics.", "", "| " + " | ".join(head) + " |", "|---|---|---|---:|---:|---:|---|"]
+    lines += [f"| {r.benchmark} | {r.model} | {r.method} | {r.seed} | {r.subset}% | {r.successful}/{r.requested} | `{r.metrics}` |" for r in rows]
+    if not rows:
+        lines.append("| - | - | - | - | - | - | no runs yet |")
     return "\n".join(lines) + "\n"
+
+
+def write_index(spark: SparkSession, root: str) -> None:
+    """index.csv and RESULTS.md of all runs; there are as many rows as runs and subsets."""
+    rows = result_index(spark, root).collect()
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/index.csv", "w", encoding="utf-8", newline="") as f:
+        table = csv.writer(f)
+        table.writerow(INDEX)
+        table.writerows([r[c] for c in INDEX] for r in rows)
+    with open(f"{root}/RESULTS.md", "w", encoding="utf-8") as f:
+        f.write(markdown(rows))

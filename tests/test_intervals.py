@@ -125,6 +125,46 @@ def test_seeded_subsets_nest(spark):
     assert [len(got[p]) for p in got] == [0, 3, 3, 5, 9, 23] and got[10] <= got[20] <= got[37]
 
 
+def test_subset_sizes_are_those_of_floats(spark):
+    s = spark.range(375).select(F.col("id").cast("string").alias("id"))
+    assert S.seeded_subset(spark, s, "id", 1, 17.6).count() == math.ceil(375 * 17.6 / 100) == 67
+    twice = s.where("id < 3").unionByName(s.where("id < 3"))
+    assert S.seeded_subset(spark, twice, "id", 1, 100).count() == 6
+    assert [S.percent_key(p) for p in (0.00001, 5, 12.5, 100, 33.3333333)] == ["p000.00001", "p005", "p012.5", "p100", "p033.333333"]
+    for bad in (-1, 101, float("nan")):
+        with pytest.raises(ValueError):
+            S.percent_key(bad)
+
+
+def test_one_call_for_each_window_and_cardinality(spark):
+    """Of one occurrence, the first window by rank that has a span gives its first; of several, all do."""
+    kinds = [(str(i), f"v{i}", 300.0, "x", "single" if i % 2 else "multi") for i in range(6)]
+    samples = spark.createDataFrame(kinds, "id string, video string, duration double, query string, cardinality string")
+    windows = [(41.0 * i, 300.0 if i == 6 else 41.0 * i + 45) for i in range(7)]
+    _, kept, each, _, shares = T.plan_budget(7)
+    got = {r.id: [(round(s.start, 6), round(s.end, 6)) for s in r.spans] for r in M.coarse_to_fine(samples, M.Tally(mute=2)).collect()}
+    score = lambda i, t: (math.floor(t * 2) * 7919 + i * 104729) % 1009 / 1009
+    bins = lambda a, b, n: [a + (k + 0.5) * (b - a) / n for k in range(n)]
+    for i in range(6):
+        rank = sorted(range(7), key=lambda w: (-max(score(i, t) for t in bins(*windows[w], each)), w))[:kept]
+        spans = [(w, bins(*windows[w], shares[k])) for k, w in enumerate(rank) if w % 2]
+        spans = [(round(ts[0], 6), round(ts[-1], 6)) for _, ts in spans]
+        assert got[str(i)] == spans[:1] if i % 2 else sorted(got[str(i)]) == sorted(spans)
+
+
+def test_first_band_and_anchors(spark):
+    bands = spark.createDataFrame([("a", 1, 0.0, 5.0, "start"), ("a", 2, 4.0, 9.0, "end")], "id string, win int, start double, end double, role string")
+    rows = spark.createDataFrame([("a", 4.5), ("a", 9.0), ("a", 9.5), ("b", 1.0)], "id string, ts double")
+    assert [r.role for r in S.first_band(rows, bands).orderBy("id", "ts").collect()] == ["start", "end", "boundary", "boundary"]
+    merged = spark.createDataFrame([("a", 0, 1.0, 0.1), ("a", 1, 1.0, 0.5), ("a", 2, 1.0 + 5e-6, 0.9), ("a", 3, 2.0, 0.2), ("a", 4, 2.0, 0.2)], "id string, idx long, ts double, score double")
+    scout = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 2.0)], "id string, ts double")
+    assert [r.idx for r in S.scout_anchors(merged, scout).where("anchor").orderBy("idx").collect()] == [1, 3]
+    order = spark.createDataFrame([("a", 0, 3), ("a", 1, 1)], "id string, pos int, idx long")
+    assert [r.score for r in S.select_rows(merged, order).orderBy("pos").collect()] == [0.2, 0.5]
+    with pytest.raises(Exception, match="no row of evidence"):
+        S.select_rows(merged, order.withColumn("idx", F.lit(9).cast("long"))).collect()
+
+
 def test_status(spark):
     want = spark.createDataFrame([(1,), (2,)], "id int")
     for ids, status in (([], "failed"), ([1], "partial"), ([1, 2], "complete")):
@@ -134,7 +174,7 @@ def test_status(spark):
 
 @pytest.mark.parametrize("name", M.METHODS.names())
 def test_methods(spark, name):
-    samples = spark.createDataFrame([("a", "v", 30.0, "x"), ("b", "w", 200.0, "y")], "id string, video string, duration double, query string")
+    samples = spark.createDataFrame([("a", "v", 30.0, "x"), ("b", "w", 200.0, "y")], "id string, video string, duration double, query string").withColumn("cardinality", F.lit("multi"))
     got = M.METHODS.create(name)(samples, M.Stub()).collect()
     assert {r.id for r in got} == {"a", "b"} and all(r.spans for r in got)
 
@@ -142,7 +182,7 @@ def test_methods(spark, name):
 @pytest.mark.parametrize("every", [None, 45.0])
 def test_coarse_to_fine_takes_any_number_of_windows(spark, every):
     assert all(T.plan_budget(n) == T.plan_budget(400) for n in (48, 401, 900, 5000))
-    samples = spark.createDataFrame([("a", "v", 200.0, "x"), ("b", "w", 20_000.0, "y")], "id string, video string, duration double, query string")
+    samples = spark.createDataFrame([("a", "v", 200.0, "x"), ("b", "w", 20_000.0, "y")], "id string, video string, duration double, query string").withColumn("cardinality", F.lit("multi"))
     cuts = every and samples.select("id", F.transform(F.sequence(F.lit(1), F.floor(F.col("duration") / every).cast("int") - 1), lambda i: i * every).alias("boundaries"))
     seen = []
 
@@ -192,7 +232,7 @@ def packed(rows, target, anchors, near=0.51, alike=0.98):
 
 
 def test_multi_evidence_packs_bands_without_near_duplicates(spark, monkeypatch):
-    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y")], "id string, video string, duration double, query string")
+    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y")], "id string, video string, duration double, query string").withColumn("cardinality", F.lit("multi"))
     given, whole = [], S.diverse_pack
     monkeypatch.setattr(S, "diverse_pack", lambda rows, *args, **more: given.extend(rows.collect()) or whole(rows, *args, **more))
     backend = Peaked(23.0)
@@ -214,7 +254,7 @@ def test_multi_evidence_packs_bands_without_near_duplicates(spark, monkeypatch):
 
 
 def test_coverage_query_keeps_ends_and_bands(spark):
-    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y"), ("c", "u", 150.0, "z")], "id string, video string, duration double, query string")
+    samples = spark.createDataFrame([("a", "v", 40.0, "x"), ("b", "w", 61.0, "y"), ("c", "u", 150.0, "z")], "id string, video string, duration double, query string").withColumn("cardinality", F.lit("multi"))
     for limit in (None, 9):
         backend = Peaked(23.0, limit)
         M.coverage_query(samples, backend).collect()

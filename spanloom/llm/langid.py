@@ -9,7 +9,8 @@ characters, each of which begins a phrase.
 
 Training: rows with a language whose fold is not held out. Of each language at most `rows` rows are taken, the first
 by hash over all its rows, whole texts, as long as they fit into `chars` characters together; if none does, the
-shortest one. Only these samples are broadcast; they and the automata grow with the number of languages alone.
+shortest one. What is broadcast (a count for each language, and these samples) and the automata grow with the number
+of languages alone.
 
 Defined results: null texts and texts without a letter (Unicode category L) are `und` with score 0, as is every text
 if nothing could be learned; with one language its score is 1; ties go to the first language by name; texts and words
@@ -181,11 +182,12 @@ def learn(docs: DataFrame, rows: int = 150, chars: int = 20_000) -> dict[str, st
     train = train.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 1)
     share = train.groupBy("lang").count().select("lang", (F.lit(3.0 * rows) / F.col("count")).alias("share"))
-    picked = train.join(share, "lang").where(h <= F.least(F.col("share"), F.lit(1.0)) * F.lit(float(2**63)))
+    picked = train.join(F.broadcast(share), "lang").where(h <= F.least(F.col("share"), F.lit(1.0)) * F.lit(float(2**63)))
     size = F.length("text")
     order = Window.partitionBy("lang").orderBy(size > chars, F.when(size > chars, size), h, "doc_id", "text")
-    first = picked.withColumn("r", F.row_number().over(order)).where((F.col("r") <= rows) & ((size <= chars) | (F.col("r") == 1)))
+    first = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)  # cut before the shuffle
     texts: dict[str, dict[str, None]] = {}
+    first = first.where((size <= chars) | (F.col("r") == 1))
     for r in first.select("lang", "text", "r").orderBy("lang", "r").collect():
         own = texts.setdefault(r["lang"], {})
         if not own or sum(map(len, own)) + len(r["text"]) <= chars:

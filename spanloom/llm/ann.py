@@ -183,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dims: int = 16,
                 near = _box_gap(flat_query(x), low, high) <= far[:, None]
                 near[np.arange(len(x)), part["region"].to_numpy()] = False
                 q, r = np.nonzero(near)
-                yield pd.DataFrame({"region": r, "id": part["id"].to_numpy()[q], "v": [x[i] for i in q], "bound": bound[q]})
+                yield pd.DataFrame({"region": r, "id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q], "bound": bound[q]})
 
     fields = "region long, id long, v array<double>, bound double"
     # large regions are several blocks, by hash, and many queries several slices: each block meets each slice

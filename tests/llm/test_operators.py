@@ -128,6 +128,21 @@ def test_ann(spark):
     assert ann.query(e.where("false")).count() == 0
 
 
+def test_ann_in_one_region_equals_brute_force(spark):
+    """A small table is one region, so no query goes to any other; repeated rows and ties are candidates each."""
+    rng = np.random.default_rng(2)
+    own = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(rng.standard_normal((60, 8)))]
+    own += [own[7], own[40], (100, own[7][1]), (101, None), (102, [0.0] * 8), (103, [1.0] * 7 + [None])]
+    got = {}
+    for r in ann.search(v := ann.usable(spark.createDataFrame(own, "vec_id long, embedding array<double>")), v.where("vec_id % 20 = 0"), stop=1 - 1e-9).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, found in got.items():
+        x = dict(own)[q]
+        order = sorted((-np.dot(x, y), i) for i, y in own if i != q and i < 101)
+        assert [i for _, i in sorted(found)] == [i for _, i in order[:20]]
+    assert sorted(got) == [0, 20, 40, 100]
+
+
 def test_pii(docs):
     base = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
     rnd = random.Random(5)

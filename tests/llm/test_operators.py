@@ -388,6 +388,32 @@ def test_chunked_encoding_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunks_are_encoded_by_columns(monkeypatch):
+    """No Python call for each chunk; results don't depend on groups, on what is remembered or on odd white space."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    lib, own, rnd = Tokenizer.from_file(tokenizer()), token_files.Library(tokenizer()), random.Random(21)
+    words = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 9))) + rnd.choice(["", "", ".", ",%%"]) for _ in range(8000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(500)) for _ in range(60)]
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    calls = []
+    sys.setprofile(lambda _, kind, __: calls.append(kind))
+    try:
+        got = list(own.encode_many(texts))
+    finally:
+        sys.setprofile(None)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want and len(calls) < 6000
+    monkeypatch.setattr(token_files, "TOGETHER", 20_000)
+    monkeypatch.setattr(token_files, "MEMORY", 1000)
+    assert list(own.encode_many(texts)) == got and list(token_files.Library(tokenizer()).encode_many(texts)) == got
+    spaces = [f"a{c}b {c} x{c} w{c}," for c in map(chr, [*range(0x250), 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])]
+    for t, g in zip(spaces, own.encode_many(spaces), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert list(own.encode_many([])) == [] and list(own.encode_many(["", " \n"])) == [b"", b""]
+
+
 def test_lookahead_is_sufficient():
     """Tokens that end the lookahead's length before a prefix's end are those of the whole piece."""
     of, rnd = bpe.encoder(tokenizer()).of, random.Random(12)

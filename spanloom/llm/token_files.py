@@ -19,57 +19,37 @@ text; a null doc_id comes first; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.chunks import MARKS, Chunks, gather
 from spanloom.llm.common import partitions, released, scratch
 
 MAGIC = b"SLT2"
 TRAILER = struct.Struct("<QIII4s")
 DOC = np.dtype([("offset", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("doc_id", "<i8"), ("n", "<u4"), ("no_id", "u1")])
-#: Words that a worker remembers from one group of texts, and task, to the next; those of a group may come on top.
-MEMORY = 120_000
-#: Characters of the texts whose chunks are made distinct and encoded together.
-TOGETHER = 4_000_000
+#: Words that the library is given at a time.
+JOINED = 256
 
 
-#: Case mappings of characters up to here are settled and don't look at their neighbours.
-BEYOND = re.compile("[^\x00-\u024f]")
-#: Of the others, U+0130 alone is not one letter in lower case.
-UNSURE = "[^\x00-\u012f\u0131-\u024f]"
-#: Splitting at white space also splits at these, which are none.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Marks that are taken off a word's end, and words that the library is given at a time.
-MARKS, JOINED = ".,;:!?#$%&*)", 256
-
-
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of flat that begin at starts and have those sizes, one after the other."""
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-class Library:
+class Library(Chunks):
     """The tokenizers library over a text's chunks between white space, each distinct chunk encoded once.
 
     What the vocabulary's own normalizer and pre-tokenizer do allows for that, and is asked of them: where they drop
     white space no token crosses it; where they lower the case, chunks are remembered in lower case; where they part
     a word from marks behind it, both are remembered by themselves; where a word's last token bears a suffix, many
     words are encoded as one text and its ids are parted behind those tokens. Otherwise whole texts are encoded.
-    Splitting, making distinct and putting together are done on columns, for a group of texts at a time.
     """
 
     def __init__(self, path: str):
@@ -81,31 +61,21 @@ class Library:
         self.lib.no_padding()
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         self.by_chunk = not ids(" \n\t\xa0\u2003") and ids("to be\nor\u2003so") == ids("to") + ids("be") + ids("or") + ids("so")
-        self.folds = self.by_chunk and self.lib.normalizer is not None and self.lib.normalizer.normalize_str("AÉ") == "aé"
+        folds = self.by_chunk and self.lib.normalizer is not None and self.lib.normalizer.normalize_str("AÉ") == "aé"
         parts = self.lib.pre_tokenizer.pre_tokenize_str("é" + MARKS) if self.by_chunk and self.lib.pre_tokenizer is not None else []
-        self.parts = len(parts) == 2 and parts[1][0] == MARKS
-        suffix = getattr(self.lib.model, "end_of_word_suffix", None) if self.parts else None
+        parted = len(parts) == 2 and parts[1][0] == MARKS
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None) if parted else None
         self.last = np.zeros(self.lib.get_vocab_size() if suffix else 0, bool)
         for token, i in self.lib.get_vocab().items() if suffix else ():
             self.last[i] = token.endswith(suffix)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-
-    def _plain(self, words: pa.Array) -> pa.Array:
-        """Which are letters alone and stay so in lower case."""
-        normal = self.lib.normalizer.normalize_str if self.lib.normalizer is not None else str
-        out, unsure = pc.utf8_is_alpha(words), pc.match_substring_regex(words, UNSURE)
-        if pc.any(unsure).as_py():  # İ is i and a mark in lower case
-            sure = [w.isalpha() and normal(w).isalpha() for w in words.filter(unsure).to_pylist()]
-            out = pc.replace_with_mask(out, unsure, pa.array(sure, pa.bool_()))
-        return out
-
-    def _learn(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids of new keys, in their order: words of letters many at a time, the others each by itself."""
-        plain = np.asarray(self._plain(keys)) if len(self.last) else np.zeros(len(keys), bool)
+        super().__init__(folds, parted)
+
+    def normal(self, word: str) -> str:
+        return self.lib.normalizer.normalize_str(word) if self.lib.normalizer is not None else word
+
+    def learn(self, keys: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters many at a time, the others each by itself."""
+        plain = plain & bool(len(self.last))
         sizes, at, made, alone = np.zeros(len(keys), np.int64), [], [], [np.flatnonzero(~plain)]
         where, words = np.flatnonzero(plain), keys.filter(pa.array(plain)).to_pylist()
         for i, e in enumerate(self.lib.encode_batch_fast([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)):
@@ -125,78 +95,15 @@ class Library:
         flat = np.concatenate([*made, np.zeros(0, "<u4")])
         starts = np.zeros(len(keys), np.int64)
         starts[at] = np.cumsum(sizes[at]) - sizes[at]
-        return sizes, _gather(flat, starts, sizes)
-
-    def _known(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, sizes and ids of distinct keys; the new ones are learned."""
-        at = pc.index_in(keys, value_set=self.words)
-        if at.null_count:
-            new = keys.filter(at.is_null())
-            sizes, flat = self._learn(new)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-            self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(keys, value_set=self.words)
-        at = np.asarray(at)
-        starts, sizes, flat = self.starts[at], self.sizes[at], self.flat
-        if len(self.words) > MEMORY:  # those of this group stay
-            self.words, self.sizes, self.flat = keys, sizes, _gather(flat, starts, sizes)
-            self.starts = np.cumsum(sizes) - sizes
-        return starts, sizes, flat
-
-    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, sizes and ids of distinct chunks."""
-        if not self.parts:
-            return self._known(chunks)
-        words = pc.utf8_rtrim(chunks, MARKS)
-        words = pc.if_else(self._plain(words), words, chunks)
-        # what is behind the word, cut from the chunks' own bytes
-        long, short = (np.asarray(pc.binary_length(a)) for a in (chunks, words))
-        begins = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks)]
-        data = _gather(np.frombuffer(chunks.buffers()[2] or b"", np.uint8), begins + short, long - short)
-        ends = np.concatenate([[0], np.cumsum(long - short)]).astype(np.int64)
-        tails = pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(ends), pa.py_buffer(data))
-        keys = pa.concat_arrays([words, tails]).dictionary_encode()
-        starts, sizes, flat = self._known(keys.dictionary)
-        both = np.asarray(keys.indices).reshape(2, -1).T.ravel()
-        ids, sizes = _gather(flat, starts[both], sizes[both]), sizes[both].reshape(-1, 2).sum(1)
-        return np.cumsum(sizes) - sizes, sizes, ids
-
-    def _group(self, texts: list[str], split: Callable) -> list[bytes]:
-        if not texts:
-            return []
-        lists = split(pa.array(texts, pa.large_string()))
-        keys = lists.values.dictionary_encode()
-        starts, sizes, flat = self._chunks(keys.dictionary)
-        at = np.asarray(keys.indices)
-        sizes = sizes[at]
-        ids = _gather(flat, starts[at], sizes).tobytes()
-        ends = 4 * np.concatenate([[0], np.cumsum(sizes)])[np.asarray(lists.offsets)]
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return sizes, gather(flat, starts, sizes)
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids, in order."""
-        if not self.by_chunk:
-            for t in texts:
-                yield np.asarray(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if self.by_chunk:
+            yield from super().encode_many(texts)
             return
-        group, odd, held = [], [], 0
         for t in texts:
-            held += len(t)
-            if self.folds and (t.isascii() or not BEYOND.search(t)) and "<|" not in t:
-                t = t.lower()
-            group.append(t)
-            odd.append(bool(SEPARATORS.search(t)))
-            if held > TOGETHER:
-                yield from self._both(group, odd)
-                group, odd, held = [], [], 0
-        yield from self._both(group, odd)
-
-    def _both(self, texts: list[str], odd: list[bool]) -> Iterator[bytes]:
-        """Texts with separators are split at blanks alone."""
-        plain = iter(self._group([t for t, o in zip(texts, odd) if not o], pc.utf8_split_whitespace))
-        others = iter(self._group([t for t, o in zip(texts, odd) if o], lambda a: pc.split_pattern(a, " ")))
-        return (next(others if o else plain) for o in odd)
+            yield np.asarray(self.lib.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, bpe, components, langid, line_dedup, mixing, ngram_join, pii, stream_dedup, token_files, toxicity
+from spanloom.llm import ann, bpe, chunks, components, langid, line_dedup, mixing, ngram_join, pii, stream_dedup, token_files, toxicity
 from spanloom.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, set string"
@@ -405,8 +405,8 @@ def test_chunks_are_encoded_by_columns(monkeypatch):
     finally:
         sys.setprofile(None)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want and len(calls) < 6000
-    monkeypatch.setattr(token_files, "TOGETHER", 20_000)
-    monkeypatch.setattr(token_files, "MEMORY", 1000)
+    monkeypatch.setattr(chunks, "TOGETHER", 20_000)
+    monkeypatch.setattr(chunks, "MEMORY", 1000)
     assert list(own.encode_many(texts)) == got and list(token_files.Library(tokenizer()).encode_many(texts)) == got
     spaces = [f"a{c}b {c} x{c} w{c}," for c in map(chr, [*range(0x250), 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])]
     for t, g in zip(spaces, own.encode_many(spaces), strict=True):
@@ -414,6 +414,31 @@ def test_chunks_are_encoded_by_columns(monkeypatch):
     assert list(own.encode_many([])) == [] and list(own.encode_many(["", " \n"])) == [b"", b""]
 
 
+def test_words_are_encoded_together(monkeypatch):
+    """Few look-ups for words that begin alike; results don't depend on groups, stretches or on what is remembered."""
+    from tokenizers import Tokenizer
+
+    lib, enc, rnd = Tokenizer.from_file(tokenizer()), bpe.Encoder(tokenizer()), random.Random(22)
+    words = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    read, merged = enc.of._read, []
+    monkeypatch.setattr(enc.of, "_read", lambda states, symbols, *a: merged.append(len(symbols)) or read(states, symbols, *a))
+    text = " ".join(words + [w.upper() + ",%%" for w in words])
+    want = lambda t: lib.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == want(text)
+    assert 0 < sum(merged) < 0.6 * sum(map(len, words))
+    odd = ["".join(rnd.choice("aAbé'.,;#*)( \n\t0ΣǅßŉİıÅ中́ \x1f\x85<|") for _ in range(60)) for _ in range(500)]
+    odd += [f"a{c}b {c} x{c} w{c}," for c in map(chr, [*range(0x250), 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])]
+    odd += ["AB<|endoftext|>Cd É.", "<|ENDOFTEXT|> x", "It's WE'LL", "é" * 200 + ".", "", " \n"]
+    monkeypatch.setattr(chunks, "TOGETHER", 2000)
+    monkeypatch.setattr(chunks, "MEMORY", 100)
+    monkeypatch.setattr(bpe, "PIECES", 10)
+    monkeypatch.setattr(bpe, "MOVES", 100)
+    monkeypatch.setattr(bpe, "PAIRS", 100)
+    for t, ids in zip(odd, enc.encode_many(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want(t) == np.frombuffer(b"".join(enc.stretches(t, 7)), "<u4").tolist(), t
+    assert np.frombuffer(b"".join(enc.stretches(text, 100)), "<u4").tolist() == want(text)
+
+
 def test_lookahead_is_sufficient():
     """Tokens that end the lookahead's length before a prefix's end are those of the whole piece."""
     of, rnd = bpe.encoder(tokenizer()).of, random.Random(12)

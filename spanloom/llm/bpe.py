@@ -336,7 +336,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_rows(docs: DataFrame, path: str, keep_ids: bool = True, rows: int = 1024) -> DataFrame:
+def encode_rows(docs: DataFrame, path: str, keep_ids: bool = True, rows: int = 512) -> DataFrame:
     """doc_id, ids (binary, if kept), n_tokens, ids_sha256, decoded_sha256 of every row; no shuffle. `rows` at a time."""
 
     def run(texts: list[str]) -> list[list]:

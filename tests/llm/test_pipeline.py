@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from spanloom.llm import mixing
+from spanloom.llm import mixing, stream_dedup
 from spanloom.llm.common import scratch
 from spanloom.llm.queries import tokenizer
 
@@ -122,3 +122,17 @@ def test_stages_equal_plain_python(spark, tmp_path):
         want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(want)
+
+
+def test_exact_dedup_plans_each_join_once(spark):
+    """What several places of a plan read is written before, so the driver holds no plan with copies of the same joins."""
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "A B", "s"), (3, "c", "s"), (3, "C", "t"), (3, "d", "t"), (None, None, None)], "doc_id long, text string, source string")
+    found = stream_dedup.dedup(docs)
+    kept = stream_dedup.keep_first(docs, found)
+    read = lambda df: {re.search(r"/([a-z-]+?)-[0-9a-f]{32}/", f)[1] for f in df.inputFiles()}
+    assert read(found) <= {"dedup-rows", "dedup-other"}
+    assert read(kept) == {"dedup-result"}
+    joins = lambda df: df._jdf.queryExecution().analyzed().toString().count("Join ")
+    assert joins(found) <= 4 and joins(kept) <= 4
+    assert sorted(tuple(r)[:4] for r in found.where("doc_id < 3").collect()) == [(1, 2, 2, False), (2, 2, 2, True)]
+    assert sorted((r.doc_id or 0, norm(r.text)) for r in kept.collect()) == [(0, ""), (2, "a b"), (3, "c"), (3, "d")]
